@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, small_batches
+from docloom.llm.common import cut, pinned, small_batches
 
 BITS = 64
 
@@ -117,18 +117,18 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _links(budget: int, rows: int):
-    def solve(u1, u2, fp) -> pa.RecordBatch:
+    def solve(u1, u2, fp, node) -> pa.RecordBatch:
         order = np.lexsort((fp, u2, u1))
-        u1, u2, fp = u1[order], u2[order], fp[order]
+        u1, u2, fp, node = u1[order], u2[order], fp[order], node[order]
         unit = np.cumsum(np.r_[0, (u1[1:] != u1[:-1]) | (u2[1:] != u2[:-1])])
         root = forest(len(fp), *trie_pairs(unit, fp, budget))
         a = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[a].view(np.int64)), pa.array(fp[root[a]].view(np.int64))], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[root[a]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)]
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)]
         for b in batches:
-            new = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64)]
+            new = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy()]
             held = [np.concatenate(x) for x in zip(held, new)]
             while len(held[0]) > rows:  # whole units only
                 change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
@@ -144,15 +144,21 @@ def _links(budget: int, rows: int):
 
 
 def links(fps: DataFrame, budget: int, chunk: int = 256) -> DataFrame:
-    """Spanning links (a, b) among the distinct fingerprints ``fps(fp)`` that differ in at most ``budget`` bits."""
+    """Spanning links (a, b) among the distinct fingerprints ``fps(fp)`` that differ in at most ``budget`` bits.
+
+    With a column ``space`` only fingerprints of one space meet; with a column ``node`` links name nodes.
+    """
+    node = F.col("node" if "node" in fps.columns else "fp").alias("node")
     small_batches(fps.sparkSession)
     edges = [BITS * k // (budget + 1) for k in range(budget + 2)]
     blocks = [F.shiftleft(F.lit(k).cast("long"), 58).bitwiseOR(F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << hi - lo) - 1).cast("long"))) if budget else F.col("fp") for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-    dealt = fps.select("fp", F.explode(F.array(*blocks)).alias("u1"))
+    if "space" in fps.columns:
+        blocks = [F.xxhash64("space", b) for b in blocks]
+    dealt = fps.select("fp", node, F.explode(F.array(*blocks)).alias("u1"))
     counts = cut(dealt.groupBy("u1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / F.lit(chunk))))
     mine = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("parts"))
     pairs = F.expr("transform(sequence(0L, parts - 1), o -> least(c, o) * 1000000L + greatest(c, o))")
-    units = dealt.join(counts, "u1").withColumn("c", mine).select("u1", F.explode(pairs).alias("u2"), "fp")
+    units = dealt.join(counts, "u1").withColumn("c", mine).select("u1", F.explode(pairs).alias("u2"), "fp", "node")
     return units.repartition("u1", "u2").sortWithinPartitions("u1", "u2").mapInArrow(_links(budget, 16384), "a long, b long").distinct()
 
 
@@ -185,10 +191,96 @@ def near_duplicates(docs: DataFrame, size: int = 5, budget: int = 2, id_col: str
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def simhash_query(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs, 3, 2).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+#: For ``keep_one``: sub-fingerprints per text at most, and shingles in one of them at most (2 to 4).
+SUBS, PER_SUB = 12, 4
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group of near copies."""
-    raise NotImplementedError
+def sub_fingerprints(text: str | None, size: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """(distinct 32-bit shingle hashes, spaces, signed fingerprints) of a text.
+
+    The distinct shingles are dealt by hash into 2^c groups of 2 to 4, each with its own SimHash. Two texts
+    that share 80 % of their shingles differ in fewer shingles than they have groups, so some group is the
+    same in both; beyond SUBS groups, the first SUBS are a sample that misses a pair at 80 % with a
+    probability under 0.4 %. A text whose copy may have the next size class is dealt for that one too.
+    """
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.empty(0, np.int32), [], []
+    k = min(size, len(words))
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+    digest = xxhash.xxh64_intdigest
+    h = np.unique(np.array([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[k - 1 :])], dtype=np.uint64))
+    spaces: list[int] = []
+    fps: list[int] = []
+    c = max(0, (2 * len(h) // PER_SUB).bit_length() - 1)
+    for c in (c, c + 1) if 1.25 * len(h) >= PER_SUB << c else (c,):
+        group = (h >> np.uint64(20)) & np.uint64((1 << c) - 1)
+        own = np.flatnonzero(group < SUBS)
+        if not len(own):
+            continue
+        own = own[np.argsort(group[own], kind="stable")]
+        g = group[own]
+        at = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        votes = np.add.reduceat(np.unpackbits(h[own].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32), at, axis=0)
+        n = np.diff(np.r_[at, len(own)])
+        fps += np.packbits(votes * 2 > n[:, None], axis=1, bitorder="little").reshape(-1).view("<i8").tolist()
+        spaces += (g[at].astype(np.int64) + 100 * c).tolist()
+    return np.unique(h.astype(np.uint32)).view(np.int32), spaces, fps
+
+
+def similar_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 2, text: str = "text") -> DataFrame:
+    """(node, root): texts (by their 64-bit hash) linked through pairs of at least that shingle similarity.
+
+    One 64-bit SimHash can't tell such pairs: at 80 % of shared shingles about ten of its bits differ, far
+    beyond any budget that prunes. So each text gets several SimHashes over small groups of its shingles;
+    the trie self-join runs within each group number, and every candidate is verified by the Jaccard
+    similarity of the shingle sets. Candidates are two stars per group, so a group of copies gives links
+    in proportion to its size.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [sub_fingerprints(t, size) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["uid", "hs", "spaces", "fps"])
+
+    texts = docs.select(F.xxhash64(F.col(text)).alias("uid"), F.col(text).alias("t")).groupBy("uid").agg(F.first("t").alias("t"))
+    sets = cut(texts.mapInArrow(run, "uid long, hs array<int>, spaces array<long>, fps array<long>"))
+    subs = sets.select("uid", F.explode(F.arrays_zip("spaces", "fps")).alias("x")).select("uid", F.col("x.spaces").alias("space"), F.col("x.fps").alias("fp"))
+    first, second = (F.min(F.struct(F.xxhash64(F.lit(k), "uid").alias("h"), F.col("uid").alias("uid"))).getField("uid") for k in (1, 2))
+    heads = cut(subs.groupBy("space", "fp").agg(first.alias("node"), second.alias("node2"), F.count(F.lit(1)).alias("n")))
+    crowd = heads.filter("n > 1").select("space", "fp", F.array("node", "node2").alias("heads"))
+    stars = subs.join(crowd, ["space", "fp"]).select(F.col("uid").alias("a"), F.explode("heads").alias("b"))
+    near = links(heads.select("space", "fp", "node"), budget)
+    pairs = cut(stars.union(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = pairs.join(sets.select(F.col("uid").alias("a"), F.col("hs").alias("ha")), "a")
+    both = pinned(left.join(sets.select(F.col("uid").alias("b"), F.col("hs").alias("hb")), "b"), both=F.size(F.array_intersect("ha", "hb")))
+    return components(both.filter(F.col("both") >= F.lit(similarity) * (F.size("ha") + F.size("hb") - F.col("both")) - 1e-9).select("a", "b"))
+
+
+def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of near copies, the smallest doc_id (nulls last); all columns kept.
+
+    Groups are components of ``similar_texts``; equal texts belong together (by a 64-bit hash). Texts without
+    words are alike only if equal. Of rows that repeat both id and text one stays.
+    """
+    uid = F.xxhash64(F.col(text))
+    ids = cut(docs.select(uid.alias("uid"), F.col(id_col).alias("doc")).groupBy("uid", "doc").agg(F.count(F.lit(1)).alias("n")))
+    roots = cut(similar_texts(docs, size, similarity, text=text))
+    classes = ids.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    classes = cut(classes)
+    low = F.min(F.struct(F.col("doc").isNull().alias("z"), "doc", "uid"))
+    best = cut(classes.groupBy("root").agg(low.alias("best"), F.sum("n").alias("n")).filter("n > 1"))
+    verdict = classes.join(best.select("root", "best"), "root").select("uid", "best").distinct()
+    verdict = cut(verdict.select(F.col("uid").alias("__s_uid"), F.col("best.doc").alias("__s_doc"), F.col("best.uid").alias("__s_keep")))
+    again = cut(ids.filter("n > 1").select(F.col("uid").alias("__s_uid2"), F.col("doc").alias("__s_doc2")))
+    judged = docs.withColumn("__s_key", uid).join(verdict, F.col("__s_key") == F.col("__s_uid"), "left")
+    kept = judged.filter(F.col("__s_uid").isNull() | (F.col("__s_keep") == F.col("__s_key")) & F.col(id_col).eqNullSafe(F.col("__s_doc"))).select(*docs.columns, "__s_key")
+    twice = (F.col("__s_key") == F.col("__s_uid2")) & F.col(id_col).eqNullSafe(F.col("__s_doc2"))
+    once = kept.join(again, twice, "left_anti").select(*docs.columns)
+    return once.union(kept.join(again, twice, "left_semi").dropDuplicates([id_col, text]).select(*docs.columns))
+
+
+def simhash_query(docs: DataFrame) -> DataFrame:
+    return near_duplicates(docs, 3, 2).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
