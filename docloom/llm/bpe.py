@@ -10,8 +10,11 @@ from __future__ import annotations
 import heapq
 import json
 import struct
+from functools import cached_property
 
+import numpy as np
 import regex
+import tiktoken
 
 #: Fixed value: the pre-token pattern of the byte-level pre-tokenizer.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -30,20 +33,36 @@ class ByteBPE:
         model, pre = spec["model"], spec["pre_tokenizer"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or spec.get("normalizer") or pre.get("add_prefix_space"):
             raise ValueError("only a plain byte-level BPE is supported")
-        self.vocab = model["vocab"]
+        self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.ranks = {m: r for r, m in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.symbols = byte_symbols()
         back = {s: b for b, s in enumerate(self.symbols)}
-        self.whole: dict[str, int] = {}
+        self.pattern = PRE_TOKEN
+        ranked = [self.vocab[a + b] for a, b in merges]
+        raw = {bytes(back[c] for c in s): i for s, i in self.vocab.items() if s not in self.special}
+        # ids in merge order: the byte-pair core of tiktoken, which merges by id, gives the same tokens
+        in_order = ranked == sorted(ranked) and max(raw[bytes([b])] for b in range(256)) < min(ranked, default=256) and len(raw) == len(ranked) + 256
+        self.core = tiktoken.Encoding("shipped", pat_str=PRE_TOKEN, mergeable_ranks=raw, special_tokens={}) if in_order else None
+
+    @cached_property
+    def whole(self) -> dict[str, int]:
+        """Strings proven to encode alone as one token."""
+        back, whole = {s: b for b, s in enumerate(self.symbols)}, {}
         for s, i in self.vocab.items():
             if all(c in back for c in s) and self._merge(list(s)) == [s]:
                 try:
-                    self.whole[bytes(back[c] for c in s).decode()] = i
+                    whole[bytes(back[c] for c in s).decode()] = i
                 except UnicodeDecodeError:
                     pass  # part of a character: never a whole pre-token
-        self.pattern = PRE_TOKEN
+        return whole
+
+    def ids(self, text: str) -> list[int]:
+        """Ids of a text without special strings."""
+        if self.core:
+            return self.core.encode_ordinary(text)
+        return [i for p in regex.findall(self.pattern, text) for i in self.merge(p)]
 
     def _merge(self, parts: list[str]) -> list[str]:
         """Lowest rank first, leftmost among equals; a heap keeps long pre-tokens at n log n."""
@@ -78,7 +97,7 @@ class Counter(dict):
         self.find = regex.compile(bpe.pattern).findall
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.bpe.merge(piece))
+        n = len(self.bpe.ids(piece) if self.bpe.core else self.bpe.merge(piece))  # alone it is one pre-token again
         if len(self) < self.limit and len(piece) < 64:
             self[piece] = n
         return n
@@ -88,20 +107,11 @@ class Counter(dict):
         return n + sum(sum(map(self.__getitem__, self.find(p))) for p in pieces)
 
 
-class Encoder(dict):
-    """Pre-token -> its ids as little-endian 32-bit words."""
-
-    def __init__(self, bpe: ByteBPE, limit: int = 300_000):
-        super().__init__({s: struct.pack("<I", i) for s, i in bpe.whole.items()})
-        self.bpe, self.limit = bpe, limit
-        self.find = regex.compile(bpe.pattern).findall
+class Encoder:
+    """Texts to ids as little-endian 32-bit words."""
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.bpe.merge(piece)
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) < self.limit and len(piece) < 64:
-            self[piece] = out
-        return out
+    def __init__(self, bpe: ByteBPE):
+        self.bpe = bpe
 
     def encode(self, text: str) -> bytes:
         special = self.bpe.special
@@ -111,7 +121,7 @@ class Encoder(dict):
         return self.encode_plain(text)
 
     def encode_plain(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.find(text)))
+        return np.array(self.bpe.ids(text), "<u4").tobytes()
 
 
 def _split(text: str, special: dict[str, int]) -> tuple[list[str], int]:
