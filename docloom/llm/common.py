@@ -55,3 +55,11 @@ def shingle_hashes(words: str, size: int) -> str:
 def pinned(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed exactly once: no later filter is pushed below them with their expressions."""
     return df.select("*", F.inline_outer(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def sized(df: DataFrame, rows: int = 250_000) -> DataFrame:
+    """``df`` with a broadcast hint if its counted rows (of a few dozen bytes) are few; else Spark joins by shuffle.
+
+    For written tables (``cut``) that are joined to whole texts: the count reads footers only.
+    """
+    return F.broadcast(df) if df.count() <= rows else df

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ascii_lower, cut, pinned, shingle_hashes, words_of
+from docloom.llm.common import ascii_lower, cut, pinned, shingle_hashes, sized, words_of
 
 SHINGLE = 5
 
@@ -54,7 +54,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_c
     same = lambda a, b: a["doc_id"].eqNullSafe(b["cand_doc"]) & (a["text_hash"] == b["cand_hash"])
     cand = pairs.select(F.col("doc_id").alias("cand_doc"), F.col("text_hash").alias("cand_hash"), "item")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("body"))
-    both = texts.join(cand, same(texts, cand)).join(sk.select("item", "item_id", "shingles", "n"), "item")
+    both = texts.join(sized(cand), same(texts, cand)).join(sk.select("item", "item_id", "shingles", "n"), "item")
     both = both.withColumn("w", words_of(ascii_lower(F.col("body")))).withColumn("own", F.expr(f"concat({', '.join(_shingles('w', k) for k in sizes)})"))
     both = pinned(both, n_shared=F.size(F.array_intersect("shingles", "own")).cast("long"))
     shared = both.select("doc_id", "text_hash", "item_id", F.col("n").alias("n_item_shingles"), "n_shared")
@@ -64,7 +64,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_c
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that leak no item, all columns kept."""
     bad = cut(contaminated(docs, items, threshold, id_col, text).select(F.col("doc_id").alias("__bad_doc"), F.col("text_hash").alias("__bad_hash")).distinct())
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad_doc"]) & (F.xxhash64(docs[text]) == bad["__bad_hash"]), "left_anti")
+    return docs.join(sized(bad), docs[id_col].eqNullSafe(bad["__bad_doc"]) & (F.xxhash64(docs[text]) == bad["__bad_hash"]), "left_anti")
 
 
 def decontamination_query(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ascii_lower, cut
+from docloom.llm.common import ascii_lower, cut, sized
 
 
 def _hashes(text: str, least_chars: int):
@@ -38,7 +38,7 @@ def dropped_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, i
 
 def cut_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns, with ``__l_lines`` (array), ``__l_drop`` (positions or null) and ``__l_text`` (what stays)."""
-    drop = cut(dropped_lines(docs, least_chars, least_docs, id_col, text)).toDF("__l_doc", "__l_hash", "__l_drop")
+    drop = sized(cut(dropped_lines(docs, least_chars, least_docs, id_col, text)).toDF("__l_doc", "__l_hash", "__l_drop"))
     df = docs.join(drop, docs[id_col].eqNullSafe(drop["__l_doc"]) & (F.xxhash64(docs[text]) == drop["__l_hash"]), "left").drop("__l_doc", "__l_hash")
     df = df.withColumn("__l_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__l_lines") - 1), F.col("__l_drop"))

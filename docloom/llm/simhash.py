@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, pinned, small_batches
+from docloom.llm.common import cut, pinned, sized, small_batches
 
 BITS = 64
 
@@ -275,11 +275,11 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: st
     verdict = classes.join(best.select("root", "best"), "root").select("uid", "best").distinct()
     verdict = cut(verdict.select(F.col("uid").alias("__s_uid"), F.col("best.doc").alias("__s_doc"), F.col("best.uid").alias("__s_keep")))
     again = cut(ids.filter("n > 1").select(F.col("uid").alias("__s_uid2"), F.col("doc").alias("__s_doc2")))
-    judged = docs.withColumn("__s_key", uid).join(verdict, F.col("__s_key") == F.col("__s_uid"), "left")
+    judged = docs.withColumn("__s_key", uid).join(sized(verdict), F.col("__s_key") == F.col("__s_uid"), "left")
     kept = judged.filter(F.col("__s_uid").isNull() | (F.col("__s_keep") == F.col("__s_key")) & F.col(id_col).eqNullSafe(F.col("__s_doc"))).select(*docs.columns, "__s_key")
     twice = (F.col("__s_key") == F.col("__s_uid2")) & F.col(id_col).eqNullSafe(F.col("__s_doc2"))
-    once = kept.join(again, twice, "left_anti").select(*docs.columns)
-    return once.union(kept.join(again, twice, "left_semi").dropDuplicates([id_col, text]).select(*docs.columns))
+    once = kept.join(sized(again), twice, "left_anti").select(*docs.columns)
+    return once.union(kept.join(sized(again), twice, "left_semi").dropDuplicates([id_col, text]).select(*docs.columns))
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:
