@@ -1,28 +1,105 @@
-"""Text normalisation as column expressions."""
+"""Text normalisation, tokens, sentences and windows as column expressions.
+
+Where an expression uses an array several times, the array is bound to a lambda variable (``let``):
+Catalyst would otherwise copy the expression that makes it into each use.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed pattern of numbered citations in running text.
+CITATION = "<CITATION_([0-9]+)>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _bare(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
+
 
 def clean_tokens(text: Column, min_len: int = 2, stopwords: tuple[str, ...] = ()) -> Column:
-    """Tags out, lower case, a-z only, split; short words and stop words dropped (repeats stay)."""
-    t = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")), "[^a-z]", " ")
-    keep = lambda x: (F.length(x) >= min_len) & (~x.isin(*stopwords) if stopwords else F.lit(True))
-    return F.filter(F.split(t, " +"), keep)
+    """Tags out, lower case, runs of a-z; short words and stop words dropped (repeats stay)."""
+    words = F.regexp_extract_all(F.lower(F.regexp_replace(_bare(text), "<[^>]+>", " ")), F.lit(f"[a-z]{{{min_len},}}"), F.lit(0))
+    return F.filter(words, lambda x: ~x.isin(*stopwords)) if stopwords else words
+
+
+def alnum_tokens(text: Column, min_len: int = 3, stopwords: tuple[str, ...] = ()) -> Column:
+    """The reranker's tokens: lower case, runs of a-z and 0-9 of at least ``min_len``."""
+    words = F.regexp_extract_all(F.lower(_bare(text)), F.lit(f"[a-z0-9]{{{min_len},}}"), F.lit(0))
+    return F.filter(words, lambda x: ~x.isin(*stopwords)) if stopwords else words
+
+
+def word_tokens(text: Column) -> Column:
+    """Lower-case runs of two or more ASCII word characters (the vectoriser's default pattern)."""
+    return F.regexp_extract_all(F.lower(_bare(text)), F.lit("[a-z0-9_]{2,}"), F.lit(0))
 
 
 def simple_tokens(text: Column) -> Column:
     """Lower case, split at white space."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(_bare(text)), r"\s+"), lambda x: x != "")
 
 
-def ngrams(tokens: str, n: int) -> Column:
-    """All n-grams of exactly order n of an array column, joined by ``_``."""
-    return F.expr(f"IF(size({tokens}) >= {n}, transform(sequence(0, size({tokens}) - {n}), i -> concat_ws('_', slice({tokens}, i + 1, {n}))), cast(array() AS array<string>))")
+def ngrams(tokens: Column, n: int, sep: str = "_") -> Column:
+    """All n-grams of exactly order n."""
+    if n == 1:
+        return tokens
+    none = F.array().cast("array<string>")
+    return let(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), sep))).otherwise(none))
 
 
-def cumulative_ngrams(tokens: str, n: int) -> Column:
+def cumulative_ngrams(tokens: Column, n: int) -> Column:
     """Words and all n-grams up to order n."""
-    return F.concat(*(ngrams(tokens, k) for k in range(1, n + 1)))
+    return tokens if n == 1 else let(tokens, lambda t: F.concat(*(ngrams(t, k) for k in range(1, n + 1))))
+
+
+def sentences(text: Column) -> Column:
+    """Text cut behind ``.``, ``!`` or ``?`` and white space; empty sentences dropped."""
+    return F.filter(F.split(F.regexp_replace(_bare(text), r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: F.trim(s) != "")
+
+
+def without_citation_sentences(text: Column) -> Column:
+    """The sentences that hold no citation tag, joined by blanks."""
+    return F.array_join(F.filter(sentences(text), lambda s: ~s.contains("CITATION")), " ")
+
+
+def windows(items: Column, size: int, stride: int) -> Column:
+    """Windows of ``size`` items every ``stride``; the last one is the first that reaches the end."""
+    last = lambda t: F.greatest(F.lit(0), F.ceil((F.size(t) - size) / stride)).cast("int")
+    return let(items, lambda t: F.when(F.size(t) > 0, F.transform(F.sequence(F.lit(0), last(t)), lambda k: F.slice(t, k * stride + 1, size))))
+
+
+def citations(text: Column) -> Column:
+    """Distinct cited ids in order of first appearance."""
+    return F.array_distinct(citation_mentions(text))
+
+
+def citation_mentions(text: Column) -> Column:
+    """Cited ids with repeats."""
+    return F.regexp_extract_all(_bare(text), F.lit(CITATION), F.lit(1))
+
+
+def citation_context(text: Column, words: int = 30) -> Column:
+    """Up to ``words`` words on either side of every mention, citation tags removed."""
+    tag = lambda x: x.rlike(CITATION)
+    around = lambda t, i: F.filter(F.slice(t, F.greatest(i - words, F.lit(0)) + 1, F.least(i, F.lit(words)) + words + 1), lambda x: ~tag(x))
+    at = lambda t: F.filter(F.transform(t, lambda x, i: F.when(tag(x), i)), lambda i: i.isNotNull())
+    return let(F.filter(F.split(_bare(text), r"\s+"), lambda x: x != ""), lambda t: F.transform(at(t), lambda i: F.array_join(around(t, i), " ")))
+
+
+def roles(text: Column) -> Column:
+    """(role, line) of the lines ``role TAB sentence``; lines without a tab are dropped."""
+    lines = F.filter(F.split(_bare(text), "\n"), lambda x: x.contains("\t"))
+    return F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, "\t", 1)).alias("role"), F.regexp_replace(x, "^[^\t]*\t", "").alias("line")))
+
+
+def role_text(text: Column, boosts: dict[str, int]) -> Column:
+    """The lines of the given roles, each repeated as often as its boost says."""
+    times = F.create_map(*(F.lit(x) for kv in boosts.items() for x in kv))
+    return F.array_join(F.flatten(F.transform(F.filter(roles(text), lambda r: r["role"].isin(*boosts)), lambda r: F.array_repeat(r["line"], F.element_at(times, r["role"])))), " ")

@@ -1,37 +1,46 @@
-"""Inverted index: postings, document lengths and term statistics as DataFrames."""
+"""Inverted index: one written table of postings, term statistics as DataFrames over it."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docloom.functions.text import clean_tokens, cumulative_ngrams
+from docloom.sources.tables import written
 
 
-def postings(docs: DataFrame, id_col: str, text: str = "text", ngram: int = 1) -> DataFrame:
-    """(id, term, tf): one shuffle, partial counts first."""
-    tokens = docs.select(F.col(id_col), clean_tokens(F.col(text)).alias("t"))
-    terms = tokens.select(id_col, F.explode_outer(cumulative_ngrams("t", ngram)).alias("term")).filter("term IS NOT NULL")
-    return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+def postings(docs: DataFrame, id_col: str, text: str = "text", ngram: int = 1, tokens: Column | None = None) -> DataFrame:
+    """(id, term, tf, dl, maxtf): the texts are dealt by id once, the rest stays in that stage.
+
+    ``dl`` counts all terms of the document, ``maxtf`` is its largest count. ``tokens`` replaces the
+    clean words of ``text``.
+    """
+    words = cumulative_ngrams(clean_tokens(F.col(text)), ngram) if tokens is None else tokens
+    terms = docs.repartition(id_col).select(id_col, F.explode(words).alias("term"))
+    doc = W.partitionBy(id_col)
+    return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")).withColumns({"dl": F.sum("tf").over(doc), "maxtf": F.max("tf").over(doc)})
 
 
 @dataclass
 class TermIndex:
-    """Statistics stay lazy; ``size`` and ``avgdl`` are one-row frames joined by broadcast."""
+    """``postings`` is stored; ``size`` is a one-row frame."""
 
-    postings: DataFrame  # doc_id, term, tf
-    lengths: DataFrame  # doc_id, dl, maxtf (documents with terms)
+    postings: DataFrame  # doc_id, term, tf, dl, maxtf
     terms: DataFrame  # term, df
     size: DataFrame  # n_docs, avgdl (one row)
 
     @classmethod
-    def build(cls, docs: DataFrame, ngram: int = 1, min_df: int = 1, max_df: float = 1.0) -> TermIndex:
-        p = postings(docs, "doc_id", ngram=ngram)
-        lengths = p.groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.max("tf").alias("maxtf"))
-        size = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(p.agg(F.sum("tf").alias("total"))).select("n_docs", (F.col("total") / F.col("n_docs")).alias("avgdl"))  # one row each
-        terms = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    def build(cls, docs: DataFrame, ngram: int = 1, min_df: int = 1, max_df: float = 1.0, tokens: Column | None = None) -> TermIndex:
+        return cls.over(written(postings(docs, "doc_id", ngram=ngram, tokens=tokens)), docs, min_df, max_df)
+
+    @classmethod
+    def over(cls, stored: DataFrame, docs: DataFrame, min_df: int = 1, max_df: float = 1.0) -> TermIndex:
+        """The index of postings that are stored already; terms outside the bounds leave the vocabulary."""
+        size = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(stored.agg(F.sum("tf").alias("total"))).select("n_docs", (F.col("total") / F.col("n_docs")).alias("avgdl"))  # one row each
+        terms = stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         if min_df > 1 or max_df < 1:
             terms = terms.crossJoin(F.broadcast(size.select("n_docs"))).filter((F.col("df") >= min_df) & (F.col("df") <= F.floor(F.col("n_docs") * max_df))).drop("n_docs")
-        return cls(p, lengths, terms, size)
+        return cls(stored, terms, size)

@@ -35,28 +35,51 @@ def _bm25(kind: str, tf: Column, norm: Column, k1: float, delta: float) -> Colum
     return tf * (k1 + 1) / (tf + k1 * norm)
 
 
-def bm25(index: TermIndex, queries: DataFrame, kind: str = "okapi", k1: float = 1.2, b: float = 0.75, delta: float = 1.0, idf: str = "robertson") -> DataFrame:
+def bm25(index: TermIndex, queries: DataFrame, kind: str = "okapi", k1: float = 1.2, b: float = 0.75, delta: float = 1.0, idf: str = "robertson", tokens: Column | None = None) -> DataFrame:
     """BM25 (okapi, l, plus) of ``queries(query_id, text)``: distinct query terms, documents with a common term."""
-    q = postings(queries, "query_id").select("query_id", "term")
-    stats = index.terms.join(q.select("term").distinct(), "term", "left_semi")
-    hits = q.join(stats, "term").join(index.postings, "term").join(index.lengths.select("doc_id", "dl"), "doc_id").crossJoin(F.broadcast(index.size))  # one row
+    q = postings(queries, "query_id", tokens=tokens).select("query_id", "term")
+    hits = q.join(index.terms, "term").join(index.postings, "term").crossJoin(F.broadcast(index.size))  # one row
     norm = 1 - b + b * F.col("dl") / F.col("avgdl")
     part = IDF[idf](F.col("n_docs"), F.col("df")) * _bm25(kind, F.col("tf"), norm, k1, delta)
     return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def tfidf(index: TermIndex, queries: DataFrame, scheme: str = "log", idf: str = "smooth") -> DataFrame:
-    """Cosine of TF-IDF vectors; terms outside the index's vocabulary don't count."""
-    weight = TF[scheme](F.col("tf"), F.col("maxtf")) * IDF[idf](F.col("n_docs"), F.col("df"))
-    size = F.broadcast(index.size.select("n_docs"))  # one row
-    d = index.postings.join(index.terms, "term").join(index.lengths.select("doc_id", "maxtf"), "doc_id").crossJoin(size).select("doc_id", "term", weight.alias("wd"))
-    norms = d.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("wd") * F.col("wd"))).alias("nd"))
-    p = postings(queries, "query_id")
-    top = p.groupBy("query_id").agg(F.max("tf").alias("maxtf"))
-    q = p.join(index.terms, "term").join(top, "query_id").crossJoin(size).select("query_id", "term", weight.alias("wq"))
-    qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
-    dots = q.join(d, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
-    return dots.join(norms, "doc_id").join(qn, "query_id").select("query_id", "doc_id", F.round(F.col("dot") / (F.col("nd") * F.col("nq")), 6).alias("score"))
+def doc_weights(index: TermIndex, scheme: str = "log", idf: str = "smooth") -> DataFrame:
+    """(doc_id, term, w): TF-IDF weights of the vocabulary's terms, not normalised."""
+    return index.postings.join(index.terms, "term").crossJoin(F.broadcast(index.size.select("n_docs"))).select("doc_id", "term", _weight(scheme, idf).alias("w"))  # one row
+
+
+def query_weights(index: TermIndex, queries: DataFrame, scheme: str = "log", idf: str = "smooth", tokens: Column | None = None) -> DataFrame:
+    """(query_id, term, df, w) of the query terms in the vocabulary."""
+    q = postings(queries, "query_id", tokens=tokens).join(index.terms, "term").crossJoin(F.broadcast(index.size.select("n_docs")))  # one row
+    return q.select("query_id", "term", "df", _weight(scheme, idf).alias("w"))
+
+
+def _weight(scheme: str, idf: str) -> Column:
+    return TF[scheme](F.col("tf"), F.col("maxtf")) * IDF[idf](F.col("n_docs"), F.col("df"))
+
+
+def norms(weights: DataFrame, key: str) -> DataFrame:
+    return weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"norm_{key}"))
+
+
+def cosine(q: DataFrame, d: DataFrame, d_norms: DataFrame | None = None) -> DataFrame:
+    """Run of sparse vectors ``q(query_id, term, w)`` against ``d(doc_id, term, w)``; zero products are not formed."""
+    dots = q.select("query_id", "term", F.col("w").alias("wq")).join(d.select("doc_id", "term", F.col("w").alias("wd")), "term")
+    dots = dots.groupBy("query_id", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("dot"))
+    both = dots.join(norms(d, "doc_id") if d_norms is None else d_norms, "doc_id").join(norms(q, "query_id"), "query_id")
+    return both.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("norm_doc_id") * F.col("norm_query_id")), 6).alias("score"))
+
+
+def tfidf(index: TermIndex, queries: DataFrame, scheme: str = "log", idf: str = "smooth", tokens: Column | None = None) -> DataFrame:
+    """Cosine of TF-IDF vectors; terms outside the index's vocabulary don't count.
+
+    The query terms carry their document frequency to the postings; only the norms read all of those.
+    """
+    q = query_weights(index, queries, scheme, idf, tokens)
+    vocab = q.select("term", "df").distinct()
+    hit = index.postings.join(vocab, "term").crossJoin(F.broadcast(index.size.select("n_docs"))).select("doc_id", "term", _weight(scheme, idf).alias("w"))  # one row
+    return cosine(q, hit, norms(doc_weights(index, scheme, idf), "doc_id"))
 
 
 def dense_top(queries: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from docloom.functions import extract
+from docloom.operators.index import postings
 from docloom.plans.catalog import FLAGSHIP, ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -37,5 +38,7 @@ def test_extractors(spark):
 
 def test_flagship_plan(spark):
     df = QUERIES[FLAGSHIP](spark, SF)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+    assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = postings(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and plan.count("Exchange") == 1
