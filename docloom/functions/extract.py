@@ -14,7 +14,15 @@ DISTANCE = r"[0-9]+(?:\.[0-9]+)?\s*(?:kilometers?|miles?|km|mi)\b"
 URL = r"(?:https?://|www\.)[^\s<>\"]+"
 ACT = r"(?:[A-Z][a-z]+ )+Act(?: of [0-9]{4})?"
 REGULATION = r"[0-9]+ (?:USC|CFR|U\.S\.C\.|C\.F\.R\.) (?:Sec |§ ?)?[0-9]+"
-PATTERNS = {"ssn": SSN, "phone": PHONE, "percent": PERCENT, "ratio": RATIO, "distance": DISTANCE, "url": URL, "act": ACT, "regulation": REGULATION}
+DURATION = r"[0-9]+(?:\.[0-9]+)?\s*(?:second|minute|hour|day|week|month|quarter|year)s?\b"
+MONEY = r"(?:[$€£]\s*[0-9][0-9,]*(?:\.[0-9]+)?|[0-9][0-9,]*(?:\.[0-9]+)?\s*(?:dollars?|USD|EUR|GBP)\b)"
+COPYRIGHT = r"(?:\([cC]\)|©|[Cc]opyright)\s+[0-9]{4}(?:\s*-\s*[0-9]{4})?"
+TRADEMARK = r"[A-Z0-9][A-Za-z0-9]*(?: [A-Z0-9][A-Za-z0-9]*)*\s?(?:TM|™|\(R\)|®)"
+PUBLIC_LAW = r"Pub\. ?L\. No\. [0-9]+-[0-9]+"
+SECTION = r"[Ss]ections? [0-9]+[A-Z]*"
+#: Days that a unit of duration stands for.
+UNIT_DAYS = {"second": 1 / 86400, "minute": 1 / 1440, "hour": 1 / 24, "day": 1, "week": 7, "month": 30, "quarter": 90, "year": 365}
+PATTERNS = {"duration": DURATION, "money": MONEY, "copyright": COPYRIGHT, "trademark": TRADEMARK, "public_law": PUBLIC_LAW, "section": SECTION, "ssn": SSN, "phone": PHONE, "percent": PERCENT, "ratio": RATIO, "distance": DISTANCE, "url": URL, "act": ACT, "regulation": REGULATION}
 
 
 def matches(kind: str, text: Column) -> Column:

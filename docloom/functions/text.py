@@ -11,6 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The stop words.
+STOPWORDS = tuple(
+    """
+    a an the and or but if in on at to for of with by from as is was are were be been being have has had do does did
+    will would could should may might shall can not no nor so yet both either neither each few more most other some
+    such than too very just that this these those it its he she they we you i me him her us them my your his our
+    their what which who whom when where why how all any every one also into about up out then there here over under
+    again further once only own same s t said upon per re vs v etc ie eg viz mr mrs ms dr ltd inc corp llc co
+    """.split()
+)
 #: Fixed pattern of numbered citations in running text.
 CITATION = "<CITATION_([0-9]+)>"
 

@@ -38,3 +38,112 @@ def micro_f1(ranked: DataFrame, qrels: DataFrame, kmax: int = 20) -> DataFrame:
     c = by_rank.select(F.col("rank").alias("k"), F.sum("h").over(w).alias("h"), F.sum("n").over(w).alias("n")).crossJoin(total)
     p, r = F.col("h") / F.col("n"), F.col("h") / F.col("rel")
     return c.select("k", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(F.col("h") == 0, 0.0).otherwise(2 * p * r / (p + r)), 6).alias("f1"))
+
+
+# The conventions below differ in who is counted, in the precision's denominator and in the handling of a
+# query's own document. ``run`` is (query_id, doc_id, rank), ``qrels`` is (query_id, doc_id).
+
+
+def without_self(run: DataFrame) -> DataFrame:
+    """The run without each query's own document, ranks closed up."""
+    return run.filter("query_id <> doc_id").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
+
+
+def _hits(run: DataFrame, qrels: DataFrame) -> DataFrame:
+    rel = qrels.select("query_id", "doc_id").distinct().withColumn("rel", F.lit(1))
+    return run.join(rel, ["query_id", "doc_id"], "left").select("query_id", "doc_id", "rank", F.coalesce("rel", F.lit(0)).alias("hit"))
+
+
+def _pooled(hits: DataFrame, n_rel: DataFrame, kmax: int, denominator: str) -> DataFrame:
+    """(k, precision, recall, f1); ``denominator``: what was retrieved (``actual``) or k for every query (``k``)."""
+    w = W.orderBy("rank").rowsBetween(W.unboundedPreceding, 0)  # kmax rows
+    by = hits.filter(F.col("rank") <= kmax).groupBy("rank").agg(F.sum("hit").alias("h"), F.count(F.lit(1)).alias("n"))
+    c = by.select(F.col("rank").alias("k"), F.sum("h").over(w).alias("h"), F.sum("n").over(w).alias("n")).crossJoin(n_rel)  # one row
+    if denominator == "k":
+        c = c.crossJoin(hits.agg(F.count_distinct("query_id").alias("n_queries"))).withColumn("n", F.col("k") * F.col("n_queries"))
+    return c.select("k", *_prf(F.col("h") / F.col("n"), F.coalesce(F.try_divide("h", "rel"), F.lit(0.0))))
+
+
+def _prf(p, r, names=("precision", "recall", "f1")) -> list:
+    return [F.round(x, 6).alias(a) for x, a in zip((p, r, F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)), names)]
+
+
+def _total(qrels: DataFrame) -> DataFrame:
+    return qrels.select("query_id", "doc_id").distinct().agg(F.count(F.lit(1)).alias("rel"))
+
+
+def _of(df: DataFrame, queries: DataFrame) -> DataFrame:
+    return df.join(queries.select("query_id").distinct(), "query_id", "left_semi")
+
+
+def micro_of_results(run: DataFrame, qrels: DataFrame, kmax: int = 20) -> DataFrame:
+    """Every query of the run counts, those without gold add false positives; own documents excluded."""
+    run = without_self(run)
+    return _pooled(_hits(run, qrels), _total(_of(qrels, run)), kmax, "actual")
+
+
+def micro_official(run: DataFrame, qrels: DataFrame, kmax: int = 20) -> DataFrame:
+    """Every query of the gold counts, missing predictions as empty lists; own documents excluded."""
+    return _pooled(_hits(_of(without_self(run), qrels), qrels), _total(qrels), kmax, "actual")
+
+
+def micro_fixed_k(run: DataFrame, qrels: DataFrame, kmax: int = 20, skip: tuple[int, ...] = ()) -> DataFrame:
+    """Queries of the run but the skipped ones; precision is always over k per query."""
+    run = without_self(run.filter(~F.col("query_id").isin(*skip)) if skip else run)
+    return _pooled(_hits(run, qrels), _total(_of(qrels, run)), kmax, "k")
+
+
+def best_k(run: DataFrame, qrels: DataFrame, kmax: int = 20, skip: tuple[int, ...] = ()) -> DataFrame:
+    """The row of the k with the largest F1, the smallest such k; queries of the run with gold."""
+    run = without_self(run.filter(~F.col("query_id").isin(*skip)) if skip else run)
+    return _pooled(_hits(_of(run, qrels), qrels), _total(_of(qrels, run)), kmax, "actual").orderBy(F.desc("f1"), "k").limit(1)
+
+
+def micro_with_self(run: DataFrame, qrels: DataFrame, kmax: int = 20) -> DataFrame:
+    """Every query of the gold counts and its own document stays; repeated predictions count once, at their best rank."""
+    first = run.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
+    once = first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank")))
+    return _pooled(_hits(_of(once, qrels), qrels), _total(qrels), kmax, "actual")
+
+
+def _at(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
+    """(query_id, h, n, rel) at k for the run's queries with gold."""
+    n = qrels.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("rel"))
+    return _hits(run.filter(F.col("rank") <= k), qrels).groupBy("query_id").agg(F.sum("hit").alias("h"), F.count(F.lit(1)).alias("n")).join(n, "query_id")
+
+
+def macro_fixed_k(run: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:
+    """One row: means of P (over k) and R, F1 of the two means; the caller masks own documents."""
+    m = _at(run, qrels, k).agg(F.avg(F.col("h") / k).alias("p"), F.avg(F.col("h") / F.col("rel")).alias("r"))
+    return m.select(*_prf(F.coalesce("p", F.lit(0.0)), F.coalesce("r", F.lit(0.0)), ("macro_p", "macro_r", "macro_f1")))
+
+
+def comprehensive(run: DataFrame, qrels: DataFrame, k: int = 5) -> DataFrame:
+    """One row over the queries with gold: micro P, R and F1 (over what was retrieved) and the harmonic macro F1."""
+    a = _at(without_self(run), qrels, k)
+    m = a.agg(F.sum("h").alias("h"), F.sum("n").alias("n"), F.sum("rel").alias("rel"), F.avg(F.col("h") / F.col("n")).alias("p"), F.avg(F.col("h") / F.col("rel")).alias("r"))
+    return m.select(*_prf(F.col("h") / F.col("n"), F.col("h") / F.col("rel")), *_prf(F.col("p"), F.col("r"), ("macro_p", "macro_r", "macro_f1")))
+
+
+def detailed(run: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+    """Per query with gold: AP over the whole list by all relevant, NDCG at k whose ideal sorts what was retrieved, R-precision."""
+    j = judged(without_self(run), qrels)
+    top = F.col("rank") <= k
+    discount = F.col("hit") / F.log2(F.col("rank") + 1.0)
+    g = j.groupBy("query_id").agg(F.first("n_rel").alias("n"), F.sum(F.col("hit") * F.col("hits") / F.col("rank")).alias("ap"), F.sum(F.when(top, discount)).alias("dcg"), F.sum(F.when(top, F.col("hit"))).alias("h"), F.sum(F.when(F.col("rank") <= F.col("n_rel"), F.col("hit"))).alias("rp"))
+    ideal = F.aggregate(F.when(F.col("h") > 0, F.sequence(F.lit(1), F.col("h").cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0))
+    return g.select("query_id", F.round(F.col("ap") / F.col("n"), 6).alias("ap"), F.round(F.when(F.col("h") > 0, F.col("dcg") / ideal).otherwise(0.0), 6).alias("ndcg"), F.round(F.col("rp") / F.col("n"), 6).alias("r_precision"))
+
+
+def chosen_on_train(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Per ``exp``: the k with the best F1 on ``train(exp, k, f1)`` (smallest such k) and the F1 of ``test`` there."""
+    pick = train.groupBy("exp").agg(F.min(F.struct((-F.col("f1")).alias("loss"), "k")).getField("k").alias("k"))
+    return pick.join(test.select("exp", "k", F.col("f1").alias("test_f1")), ["exp", "k"])
+
+
+def label_f1(gold: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Multi-label: (label, precision, recall, f1) over the labels of either side of (case_id, label)."""
+    g, p = (x.select("case_id", "label").distinct().withColumn(n, F.lit(1)) for x, n in ((gold, "g"), (predicted, "p")))
+    c = g.join(p, ["case_id", "label"], "full").groupBy("label").agg(F.sum(F.coalesce(F.col("g") * F.col("p"), F.lit(0))).alias("tp"), F.coalesce(F.sum("g"), F.lit(0)).alias("g"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"))
+    ratio = lambda n: F.when(F.col(n) > 0, F.col("tp") / F.col(n)).otherwise(0.0)
+    return c.select("label", *_prf(ratio("p"), ratio("g")))

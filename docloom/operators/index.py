@@ -12,16 +12,16 @@ from docloom.functions.text import clean_tokens, cumulative_ngrams
 from docloom.sources.tables import written
 
 
-def postings(docs: DataFrame, id_col: str, text: str = "text", ngram: int = 1, tokens: Column | None = None) -> DataFrame:
+def postings(docs: DataFrame, id_col: str, text: str = "text", ngram: int = 1, tokens: Column | None = None, weight: Column | None = None) -> DataFrame:
     """(id, term, tf, dl, maxtf): the texts are dealt by id once, the rest stays in that stage.
 
-    ``dl`` counts all terms of the document, ``maxtf`` is its largest count. ``tokens`` replaces the
+    Several rows may share an id (fields); ``weight`` is what a term of a row counts. ``dl`` counts all terms of the document, ``maxtf`` is its largest count. ``tokens`` replaces the
     clean words of ``text``.
     """
     words = cumulative_ngrams(clean_tokens(F.col(text)), ngram) if tokens is None else tokens
-    terms = docs.repartition(id_col).select(id_col, F.explode(words).alias("term"))
+    terms = docs.repartition(id_col).select(id_col, (F.lit(1) if weight is None else weight).alias("n"), F.explode(words).alias("term"))
     doc = W.partitionBy(id_col)
-    return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf")).withColumns({"dl": F.sum("tf").over(doc), "maxtf": F.max("tf").over(doc)})
+    return terms.groupBy(id_col, "term").agg(F.sum("n").alias("tf")).withColumns({"dl": F.sum("tf").over(doc), "maxtf": F.max("tf").over(doc)})
 
 
 @dataclass

@@ -48,3 +48,79 @@ def rrf(*runs: DataFrame, k: int = 60, depth: int = 1000) -> DataFrame:
     for p in parts[1:]:
         both = both.union(p)
     return both.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
+
+
+def pool_hybrid(base: DataFrame, other: DataFrame, alpha: float, depth: int) -> DataFrame:
+    """Ranks (query_id, doc_id, rank): z-norm mix inside the base's top ``depth``, the rest behind it in base order.
+
+    A pool document that ``other`` lacks has 0 there before the norm.
+    """
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    b = base.withColumn("base_rank", F.row_number().over(order)).join(other.select("query_id", "doc_id", F.col("score").alias("o")), ["query_id", "doc_id"], "left")
+    pool = b.filter(F.col("base_rank") <= depth).withColumn("o", F.coalesce("o", F.lit(0.0)))
+    m = pool.groupBy("query_id").agg(F.avg("score").alias("m1"), F.stddev_pop("score").alias("s1"), F.avg("o").alias("m2"), F.stddev_pop("o").alias("s2"))
+    z = lambda x, m, s: F.when(F.col(s) < 1e-10, 0.0).otherwise((F.col(x) - F.col(m)) / F.col(s))
+    mixed = pool.join(m, "query_id").select("query_id", "doc_id", "base_rank", F.round(alpha * z("score", "m1", "s1") + (1 - alpha) * z("o", "m2", "s2"), 6).alias("mix"))
+    rest = b.filter(F.col("base_rank") > depth).select("query_id", "doc_id", "base_rank", F.lit(None).cast("double").alias("mix"))
+    last = W.partitionBy("query_id").orderBy(F.desc_nulls_last("mix"), "base_rank")
+    return mixed.unionByName(rest).select("query_id", "doc_id", F.row_number().over(last).alias("rank"))
+
+
+def fuse3(t: DataFrame, c: DataFrame, m: DataFrame, alpha: float, beta: float) -> DataFrame:
+    """alpha t + beta c + max(0, 1 - alpha - beta) m over the documents of t; missing scores are 0."""
+    one = lambda df, n: df.select("query_id", "doc_id", F.col("score").alias(n))
+    j = t.join(one(c, "c"), ["query_id", "doc_id"], "left").join(one(m, "m"), ["query_id", "doc_id"], "left")
+    return j.select("query_id", "doc_id", F.round(alpha * F.col("score") + beta * F.coalesce("c", F.lit(0.0)) + max(0.0, 1 - alpha - beta) * F.coalesce("m", F.lit(0.0)), 6).alias("score"))
+
+
+def maxnorm(run: DataFrame) -> DataFrame:
+    """Scores over the query's largest (1 where that isn't positive)."""
+    s = _stats(run, F.max("score").alias("hi"))
+    return s.select("query_id", "doc_id", F.round(F.col("score") / F.when(F.col("hi") > 0, F.col("hi")).otherwise(1.0), 6).alias("score"))
+
+
+def rank_feature(run: DataFrame) -> DataFrame:
+    """1 - rank / N with ranks from 0, N the query's documents."""
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    r = run.withColumn("r", F.row_number().over(order) - 1).join(run.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id")
+    return r.select("query_id", "doc_id", F.round(1 - F.col("r") / F.col("n"), 6).alias("score"))
+
+
+def hard_negatives(run: DataFrame, qrels: DataFrame, k: int = 50) -> DataFrame:
+    """The best k documents per query that are neither relevant nor the query itself."""
+    wrong = run.filter("query_id <> doc_id").join(qrels.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    return top(wrong, k)
+
+
+def rerank_pool(pool: DataFrame, run: DataFrame) -> DataFrame:
+    """``pool(query_id, doc_id, pos)`` by score; a document that the run lacks has 0, a query that it lacks keeps its order."""
+    known = run.select("query_id").distinct().withColumn("known", F.lit(True))
+    p = pool.join(run.select("query_id", "doc_id", "score"), ["query_id", "doc_id"], "left").join(known, "query_id", "left")
+    s = F.when(F.col("known"), F.coalesce("score", F.lit(0.0))).otherwise(0.0)
+    scored = p.withColumn("score", s)
+    return scored.select("query_id", "doc_id", "score", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "pos")).alias("rank"))
+
+
+def weighted_fields(runs: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
+    """Sum of w s over the fields' runs, divided by the sum of all weights."""
+    whole, out = sum(weights.values()), None
+    for name, run in runs.items():
+        part = run.select("query_id", "doc_id", (F.col("score") * (weights[name] / whole)).alias("s"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
+
+
+def chunk_scores(pairs: DataFrame, how: str = "max", n: int = 3) -> DataFrame:
+    """Run from chunk pairs (query_id, doc_id, q_chunk, d_chunk, sim).
+
+    ``max``: best pair; ``mean``: mean over the query's chunks of their best; ``sum``: sum of the n best of the
+    document chunks' best.
+    """
+    key = ["query_id", "doc_id"]
+    if how == "max":
+        return pairs.groupBy(*key).agg(F.round(F.max("sim"), 6).alias("score"))
+    if how == "mean":
+        return pairs.groupBy(*key, "q_chunk").agg(F.max("sim").alias("s")).groupBy(*key).agg(F.round(F.avg("s"), 6).alias("score"))
+    best = pairs.groupBy(*key, "d_chunk").agg(F.max("sim").alias("s"))
+    ranked = best.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("s"), "d_chunk")))
+    return ranked.filter(F.col("r") <= n).groupBy(*key).agg(F.round(F.sum("s"), 6).alias("score"))

@@ -5,8 +5,10 @@ import pytest
 
 from docloom.functions import extract
 from docloom.operators.index import postings
-from docloom.plans.catalog import FLAGSHIP, ORACLES, QUERIES
+from docloom.plans import catalog, experiments
+from docloom.plans.catalog import FLAGSHIP
 
+QUERIES, ORACLES = catalog.QUERIES | experiments.QUERIES, catalog.ORACLES | experiments.ORACLES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
