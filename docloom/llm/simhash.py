@@ -195,22 +195,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, budget: int = 2, id_col: str
 SUBS, PER_SUB = 12, 4
 
 
-def sub_fingerprints(text: str | None, size: int) -> tuple[np.ndarray, list[int], list[int]]:
-    """(distinct 32-bit shingle hashes, spaces, signed fingerprints) of a text.
-
-    The distinct shingles are dealt by hash into 2^c groups of 2 to 4, each with its own SimHash. Two texts
-    that share 80 % of their shingles differ in fewer shingles than they have groups, so some group is the
-    same in both; beyond SUBS groups, the first SUBS are a sample that misses a pair at 80 % with a
-    probability under 0.4 %. A text whose copy may have the next size class is dealt for that one too.
-    """
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles, sorted; empty for a text without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.empty(0, np.int32), [], []
+        return np.empty(0, np.uint64)
     k = min(size, len(words))
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]).tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.array([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[k - 1 :])], dtype=np.uint64))
+    return np.unique(np.array([digest(joined[a : b - 1], 42) for a, b in zip([0, *ends], ends[k - 1 :])], dtype=np.uint64))
+
+
+def sub_fingerprints(h: np.ndarray) -> tuple[list[int], list[int]]:
+    """(spaces, signed fingerprints) of a shingle set.
+
+    The distinct shingles are dealt by hash into 2^c groups of 2 to 4, each with its own SimHash. Two texts
+    that share 80 % of their shingles differ in fewer shingles than they have groups, so some group is the
+    same in both; beyond SUBS groups, the first SUBS are a sample that misses a pair at 80 % with a
+    probability under 0.4 %. A text whose copy may have the next size class is dealt for that one too.
+    """
+    if not len(h):
+        return [], []
     spaces: list[int] = []
     fps: list[int] = []
     c = max(0, (2 * len(h) // PER_SUB).bit_length() - 1)
@@ -226,7 +232,7 @@ def sub_fingerprints(text: str | None, size: int) -> tuple[np.ndarray, list[int]
         n = np.diff(np.r_[at, len(own)])
         fps += np.packbits(votes * 2 > n[:, None], axis=1, bitorder="little").reshape(-1).view("<i8").tolist()
         spaces += (g[at].astype(np.int64) + 100 * c).tolist()
-    return np.unique(h.astype(np.uint32)).view(np.int32), spaces, fps
+    return spaces, fps
 
 
 def similar_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, budget: int = 2, text: str = "text") -> DataFrame:
@@ -240,22 +246,33 @@ def similar_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, budge
     """
     small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [sub_fingerprints(t, size) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["uid", "hs", "spaces", "fps"])
+            out = [sub_fingerprints(shingle_set(t, size)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (0, 1))], ["uid", "spaces", "fps"])
 
-    texts = docs.select(F.xxhash64(F.col(text)).alias("uid"), F.col(text).alias("t")).groupBy("uid").agg(F.first("t").alias("t"))
-    sets = cut(texts.mapInArrow(run, "uid long, hs array<int>, spaces array<long>, fps array<long>"))
-    subs = sets.select("uid", F.explode(F.arrays_zip("spaces", "fps")).alias("x")).select("uid", F.col("x.spaces").alias("space"), F.col("x.fps").alias("fp"))
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hs = [np.unique(shingle_set(t, size).astype(np.uint32)).view(np.int32) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hs, pa.list_(pa.int32()))], ["uid", "hs"])
+
+    # no text is shuffled to drop equal ones: copies give the same few marks, which meet after the map side's aggregation
+    texts = docs.select(F.xxhash64(F.col(text)).alias("uid"), F.col(text).alias("t"))
+    marked = texts.mapInArrow(marks, "uid long, spaces array<long>, fps array<long>")
+    marked = cut(marked.groupBy("uid").agg(F.first("spaces").alias("spaces"), F.first("fps").alias("fps")))
+    subs = marked.select("uid", F.explode(F.arrays_zip("spaces", "fps")).alias("x")).select("uid", F.col("x.spaces").alias("space"), F.col("x.fps").alias("fp"))
     first, second = (F.min(F.struct(F.xxhash64(F.lit(k), "uid").alias("h"), F.col("uid").alias("uid"))).getField("uid") for k in (1, 2))
     heads = cut(subs.groupBy("space", "fp").agg(first.alias("node"), second.alias("node2"), F.count(F.lit(1)).alias("n")))
     crowd = heads.filter("n > 1").select("space", "fp", F.array("node", "node2").alias("heads"))
     stars = subs.join(crowd, ["space", "fp"]).select(F.col("uid").alias("a"), F.explode("heads").alias("b"))
     near = links(heads.select("space", "fp", "node"), budget)
     pairs = cut(stars.union(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    left = pairs.join(sets.select(F.col("uid").alias("a"), F.col("hs").alias("ha")), "a")
-    both = pinned(left.join(sets.select(F.col("uid").alias("b"), F.col("hs").alias("hb")), "b"), both=F.size(F.array_intersect("ha", "hb")))
+    # only candidates' texts are read again for their shingle sets
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct())
+    held = texts.join(sized(wanted), F.col("uid") == F.col("wanted"), "left_semi").mapInArrow(sets, "uid long, hs array<int>")
+    held = cut(held.groupBy("uid").agg(F.first("hs").alias("hs")))
+    left = pairs.join(held.select(F.col("uid").alias("a"), F.col("hs").alias("ha")), "a")
+    both = pinned(left.join(held.select(F.col("uid").alias("b"), F.col("hs").alias("hb")), "b"), both=F.size(F.array_intersect("ha", "hb")))
     return components(both.filter(F.col("both") >= F.lit(similarity) * (F.size("ha") + F.size("hb") - F.col("both")) - 1e-9).select("a", "b"))
 
 
