@@ -241,8 +241,8 @@ def similar_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, budge
     One 64-bit SimHash can't tell such pairs: at 80 % of shared shingles about ten of its bits differ, far
     beyond any budget that prunes. So each text gets several SimHashes over small groups of its shingles;
     the trie self-join runs within each group number, and every candidate is verified by the Jaccard
-    similarity of the shingle sets. Candidates are two stars per group, so a group of copies gives links
-    in proportion to its size.
+    similarity of the shingle sets. Two stars per equal mark come first, so a group of copies gives links in
+    proportion to its size; whatever they leave apart under one mark is then compared in full (``unresolved``).
     """
     small_batches(docs.sparkSession)
 
@@ -273,7 +273,83 @@ def similar_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, budge
     held = cut(held.groupBy("uid").agg(F.first("hs").alias("hs")))
     left = pairs.join(held.select(F.col("uid").alias("a"), F.col("hs").alias("ha")), "a")
     both = pinned(left.join(held.select(F.col("uid").alias("b"), F.col("hs").alias("hb")), "b"), both=F.size(F.array_intersect("ha", "hb")))
-    return components(both.filter(F.col("both") >= F.lit(similarity) * (F.size("ha") + F.size("hb") - F.col("both")) - 1e-9).select("a", "b"))
+    roots = cut(components(both.filter(F.col("both") >= F.lit(similarity) * (F.size("ha") + F.size("hb") - F.col("both")) - 1e-9).select("a", "b")))
+    # the heads met every member of their mark; of the others, only those in different components are left
+    rest = subs.join(heads.filter("n > 3").select("space", "fp", "node", "node2"), ["space", "fp"]).filter("uid <> node AND uid <> node2")
+    rest = rest.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").select(F.xxhash64("space", "fp").alias("mark"), "uid", F.coalesce("root", "uid").alias("root"))
+    more = cut(components(unresolved(cut(rest), held, similarity)))
+    up = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return up.union(more.join(roots.select("node"), "node", "left_anti").select("node", "root"))
+
+
+def similar_pairs(sizes: np.ndarray, flat: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i < j) of all pairs of sets of at least that Jaccard similarity; ``flat`` holds the sets one after another."""
+    n = len(sizes)
+    row = np.repeat(np.arange(n), sizes)
+    _, col, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[col] > 1  # what only one set has is in no intersection
+    row, col = row[shared], (np.cumsum(count > 1) - 1)[col[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((n, n), np.float32)
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 2048):
+        a, b = np.searchsorted(col, (lo, lo + 2048))
+        has = np.zeros((n, int(col[b - 1]) + 1 - lo), np.float32)
+        has[row[a:b], col[a:b] - lo] = 1
+        both += has @ has.T
+    i, j = np.nonzero(np.triu(both, 1))
+    common = both[i, j].astype(np.float64)
+    ok = common >= similarity * (sizes[i] + sizes[j] - common) - 1e-9
+    return i[ok], j[ok]
+
+
+def _meet(similarity: float):
+    def solve(root: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
+        names, own = np.unique(root, return_inverse=True)
+        i, j = similar_pairs(sizes, flat, similarity) if len(names) > 1 else (own[:0], own[:0])
+        low = forest(len(names), own[i], own[j])
+        a = np.flatnonzero(low != np.arange(len(names)))
+        return pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[low[a]])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []  # the parts of one unit
+        last = None
+        for b in batches:
+            unit, root = b.column(0).to_numpy(), b.column(1).to_numpy()
+            sizes, flat = np.diff(b.column(2).offsets.to_numpy()).astype(np.int64), b.column(2).flatten().to_numpy()
+            ends = np.r_[0, np.cumsum(sizes)]
+            at = np.r_[0, np.flatnonzero(unit[1:] != unit[:-1]) + 1, len(unit)]
+            for lo, hi in zip(at[:-1], at[1:]):
+                if lo == hi:
+                    continue
+                if held and unit[lo] != last:
+                    yield solve(*(np.concatenate(x) for x in zip(*held)))
+                    held = []
+                last = unit[lo]
+                held.append((root[lo:hi], sizes[lo:hi], flat[ends[lo] : ends[hi]]))
+        if held:
+            yield solve(*(np.concatenate(x) for x in zip(*held)))
+
+    return run
+
+
+def unresolved(members: DataFrame, sets: DataFrame, similarity: float, chunk: int = 256, shingles: int = 1 << 20) -> DataFrame:
+    """Links (a, b) between components that hold a similar pair under one mark: of ``members(mark, uid, root)``, every pair of different roots is compared.
+
+    The largest component of a mark need not meet itself; its members and the others are cut into chunks, bounded
+    by rows and by shingles of ``sets(uid, hs)``, and joined chunk pair by chunk pair, so a hot mark spreads over tasks.
+    """
+    weighed = cut(members.join(sets.select("uid", F.size("hs").alias("w")), "uid"))
+    parts = weighed.groupBy("mark", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
+    most = parts.groupBy("mark").agg(F.max(F.struct("n", "w", "root")).alias("main"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    pieces = lambda n, w: F.ceil(F.greatest(n / F.lit(chunk), w / F.lit(shingles)))
+    plan = cut(most.select("mark", F.col("main.root").alias("main"), pieces(F.col("main.n"), F.col("main.w")).alias("p"), pieces(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("q")))
+    dealt = weighed.join(plan, "mark").withColumn("c", F.pmod(F.xxhash64(F.lit(9), "uid"), F.when(F.col("root") == F.col("main"), F.col("p")).otherwise(F.col("q"))))
+    units = F.expr("""IF(root = main, transform(sequence(0L, q - 1), j -> xxhash64(mark, 0, c, j)),
+        concat(transform(sequence(0L, p - 1), i -> xxhash64(mark, 0, i, c)), transform(sequence(0L, q - 1), j -> xxhash64(mark, 1, least(c, j), greatest(c, j)))))""")
+    small_batches(members.sparkSession)
+    met = dealt.select("uid", "root", F.explode(units).alias("unit")).join(sets, "uid").select("unit", "root", "hs")
+    return met.repartition("unit").sortWithinPartitions("unit").mapInArrow(_meet(similarity), "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -151,6 +151,42 @@ def test_keep_one(spark, empty):
     assert simhash.keep_one(df).columns == df.columns and simhash.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [256, 16])
+def test_keep_one_links_of_non_heads(spark, monkeypatch, chunk):
+    """Copies edited apart from each other: nearly every link runs through the original, which heads no mark."""
+    monkeypatch.setattr(simhash.unresolved, "__defaults__", (chunk, 1 << 20))
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 7)))
+    texts = []
+    for n, copies, edits in ((200, 300, 3), (30, 40, 1), (90, 60, 2)):
+        w = [word() for _ in range(n)]
+        family = [w]
+        for _ in range(copies):
+            v = list(w)
+            for at in rng.sample(range(n), edits):
+                v[at] = word()
+            family.append(v)
+        texts += [" ".join(v) for v in family]
+    ids = range(len(texts))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    links = [(a, b) for a in ids for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = list(ids)
+    while any(root[a] != root[b] for a, b in links):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(root))
+
+
+def test_similar_pairs():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 40 if k % 2 else 9000, rng.integers(0, 60) if k % 3 else 4000)) for k in range(40)]
+    sets += [np.delete(s, slice(0, len(s) // 5)) for s in sets]
+    i, j = simhash.similar_pairs(np.array([len(s) for s in sets]), np.concatenate(sets), 0.8)
+    brute = {(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a]) and len(sets[b]) and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9}
+    assert brute and set(zip(i.tolist(), j.tolist())) == brute
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
