@@ -7,8 +7,11 @@ training, in which every task trains on masked positions of each of its document
 are averaged in a tree of bounded groups. A document's score sums the log-probabilities of all its words,
 each predicted from both sides.
 
-Defined results: words are split at ASCII white space, A-Z lower-cased; words outside the vocabulary are
-one unknown word. A null, empty or blank text has no words: pll 0, mean_pll null. Repeated rows are
+The network's classes hold the most frequent words; every other word of the corpus is a rare word. To the
+network all rare words are one unknown word, and a second level gives each its share of them by its own
+count over all documents, so the words that are told apart grow with the corpus.
+
+Defined results: words are split at ASCII white space, A-Z lower-cased. A null, empty or blank text has no words: pll 0, mean_pll null. Repeated rows are
 scored each, alike. An empty table leaves the network at its start.
 """
 
@@ -31,8 +34,8 @@ VOCAB, PAD = CLASSES * IN_CLASS, CLASSES * IN_CLASS
 FANIN, BLOCK = 16, 8192
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> list[tuple[str, int]]:
-    """The VOCAB - 1 most frequent words with their counts over all documents; first the unknown word's count."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): every word of the documents with its count."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +49,12 @@ def vocabulary(docs: DataFrame, text: str = "text") -> list[tuple[str, int]]:
                     counts.clear()
         yield out()
 
-    counts = cut(docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    return cut(docs.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def vocabulary(docs: DataFrame, text: str = "text", counts: DataFrame | None = None) -> list[tuple[str, int]]:
+    """The VOCAB - 1 most frequent words with their counts over all documents; first the unknown word's count."""
+    counts = word_counts(docs, text) if counts is None else counts
     top = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(VOCAB - 1).collect()]
     total = counts.agg(F.sum("n")).first()[0] or 0
     return [("", max(1, total - sum(n for _, n in top))), *top]
@@ -225,6 +233,33 @@ def scores(docs: DataFrame, vocab: list[tuple[str, int]], weights: dict[str, np.
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text)).mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens long, pll double, mean_pll double")
 
 
+def rare_shares(docs: DataFrame, vocab: list[tuple[str, int]], counts: DataFrame, text: str = "text") -> DataFrame:
+    """(uid, rare): per text (by its 64-bit hash) the sum of its rare words' log-shares of all rare words' count."""
+    known = docs.sparkSession.sparkContext.broadcast({w.encode() for w, _ in vocab[1:]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = Counter(w for w in (t or "").encode().lower().split() if w not in known.value)
+                for part in (list(own.items())[i : i + 10_000] for i in range(0, len(own), 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([uid] * len(part), pa.int64()), pa.array([w.decode() for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64())], ["uid", "word", "k"])
+
+    # equal texts give equal rows, so one of each is enough
+    words = docs.select(F.xxhash64(text).alias("uid"), F.col(text)).mapInArrow(run, "uid long, word string, k long").groupBy("uid", "word").agg(F.first("k").alias("k"))
+    share = F.log(F.col("n") / F.lit(float(vocab[0][1])))
+    return cut(words.join(counts, "word").groupBy("uid").agg(F.sum(F.col("k") * share).alias("rare")))
+
+
+def full_scores(docs: DataFrame, vocab: list[tuple[str, int]], weights: dict[str, np.ndarray], counts: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``scores`` with every rare word's own share; ``counts`` are of the documents that are scored or more."""
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("uid")).alias("doc_id"), F.col(text).alias("text"))
+    # the ids alone are joined, no text
+    first = scores(keyed, vocab, weights).select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.uid").alias("uid"), "n_tokens", "pll")
+    total = first.join(rare_shares(docs, vocab, counts, text), "uid", "left").withColumn("pll", F.col("pll") + F.coalesce("rare", F.lit(0.0)))
+    return total.select("doc_id", "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_pll"))
+
+
 def lm_query(docs: DataFrame) -> DataFrame:
-    vocab = vocabulary(docs)
-    return scores(docs, vocab, train(docs, vocab))
+    counts = word_counts(docs)
+    vocab = vocabulary(docs, counts=counts)
+    return full_scores(docs, vocab, train(docs, vocab), counts)

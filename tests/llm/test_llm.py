@@ -354,3 +354,25 @@ def test_lm_scores(docs, empty, spark):
                 total += z[y] - np.log(np.exp(z).sum())
         assert r.pll == pytest.approx(total, rel=1e-3, abs=1e-3)
     assert lm_scoring.lm_query(empty).count() == 0
+
+
+def test_lm_rare_words(spark):
+    """Words outside the network's classes are told apart by their counts; random strings don't score near the top."""
+    rng = random.Random(2)
+    rare = [f"w{i}" for i in range(2500)]
+    texts = [" ".join(rng.choice(rare) for _ in range(60)) for _ in range(200)]
+    texts += [" ".join(f"{rng.getrandbits(60):x}" for _ in range(60)), None, texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    counts = lm_scoring.word_counts(df)
+    vocab = lm_scoring.vocabulary(df, counts=counts)
+    p = lm_scoring.start(vocab)
+    plain = {r.doc_id: r for r in lm_scoring.scores(df, vocab, p).collect()}
+    full = {r.doc_id: r for r in lm_scoring.full_scores(df, vocab, p, counts).collect()}
+    n, known = Counter(w for t in texts for w in (t or "").split()), {w for w, _ in vocab}
+    assert sum(c for w, c in n.items() if w not in known) == vocab[0][1] and len(full) == len(texts)
+    for i, t in enumerate(texts):
+        extra = sum(np.log(n[w] / vocab[0][1]) for w in (t or "").split() if w not in known)
+        assert full[i].pll == pytest.approx(plain[i].pll + extra) and full[i].n_tokens == plain[i].n_tokens
+        assert full[i].mean_pll == (pytest.approx(full[i].pll / full[i].n_tokens) if t else None)
+    place = lambda found: sorted((r.mean_pll for r in found.values() if r.n_tokens), reverse=True).index(found[200].mean_pll)
+    assert place(plain) == 0 and place(full) == len(texts) - 2
