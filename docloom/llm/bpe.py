@@ -3,6 +3,9 @@
 ``ByteBPE`` reads a tokenizer JSON (byte-level pre-tokenizer, no normaliser). ``whole`` holds every
 vocabulary string that is proven, by running the merges on it, to encode alone as exactly one token;
 a pre-token found there needs no merge. All others are merged once and remembered in a bounded table.
+
+Texts of any length and any run of equal characters are encoded: the byte-pair core's own splitter keeps a
+stack per character of a blank run, so texts beyond ``LONG`` characters are split here and merged piece by piece.
 """
 
 from __future__ import annotations
@@ -19,6 +22,9 @@ import tiktoken
 #: Fixed value: the pre-token pattern of the byte-level pre-tokenizer.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: The core's splitter is safe on runs of 300,000 blanks and fails beyond a million; longer texts than this never reach it.
+LONG = 100_000
+
 
 def byte_symbols() -> list[str]:
     """The symbol of each byte: printable Latin-1 stands for itself, the rest follow from code point 256."""
@@ -40,6 +46,7 @@ class ByteBPE:
         self.symbols = byte_symbols()
         back = {s: b for b, s in enumerate(self.symbols)}
         self.pattern = PRE_TOKEN
+        self.split = regex.compile(PRE_TOKEN).finditer
         ranked = [self.vocab[a + b] for a, b in merges]
         raw = {bytes(back[c] for c in s): i for s, i in self.vocab.items() if s not in self.special}
         # ids in merge order: the byte-pair core of tiktoken, which merges by id, gives the same tokens
@@ -60,9 +67,21 @@ class ByteBPE:
 
     def ids(self, text: str) -> list[int]:
         """Ids of a text without special strings."""
-        if self.core:
+        if self.core and len(text) <= LONG:
             return self.core.encode_ordinary(text)
-        return [i for p in regex.findall(self.pattern, text) for i in self.merge(p)]
+        known, out = {}, []
+        for m in self.split(text):
+            p = m[0]
+            if (ids := known.get(p)) is None:
+                ids = self.piece(p)
+                if len(p) < 64 and len(known) < 100_000:
+                    known[p] = ids
+            out += ids
+        return out
+
+    def piece(self, piece: str) -> list[int]:
+        """Ids of one pre-token, which isn't split again."""
+        return self.core._core_bpe.encode_single_piece(piece.encode()) if self.core else self.merge(piece)
 
     def _merge(self, parts: list[str]) -> list[str]:
         """Lowest rank first, leftmost among equals; a heap keeps long pre-tokens at n log n."""
@@ -97,14 +116,16 @@ class Counter(dict):
         self.find = regex.compile(bpe.pattern).findall
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.bpe.ids(piece) if self.bpe.core else self.bpe.merge(piece))  # alone it is one pre-token again
+        n = len(self.bpe.piece(piece))
         if len(self) < self.limit and len(piece) < 64:
             self[piece] = n
         return n
 
     def count(self, text: str) -> int:
         pieces, n = _split(text, self.bpe.special)
-        return n + sum(sum(map(self.__getitem__, self.find(p))) for p in pieces)
+        for p in pieces:
+            n += sum(map(self.__getitem__, self.find(p))) if len(p) <= LONG else sum(self[m[0]] for m in self.bpe.split(p))
+        return n
 
 
 class Encoder:
@@ -136,14 +157,18 @@ _LOADED: dict[int, ByteBPE] = {}
 
 
 def shipped(spark, path: str):
-    """A broadcast of the tokenizer's definition (a fixed vocabulary, 2 MB); ``path`` is read on the driver alone."""
+    """A broadcast of the tokenizer (a fixed vocabulary, 3 MB); ``path`` is read and the whole-token table proven on the driver, once."""
     with open(path, encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+        definition = f.read()
+    return spark.sparkContext.broadcast((definition, loaded((definition, None)).whole))
 
 
-def loaded(definition: str) -> ByteBPE:
-    """The tokenizer, built once per Python worker."""
+def loaded(sent: tuple[str, dict[str, int] | None]) -> ByteBPE:
+    """The tokenizer, built once per Python worker; the whole-token table comes with it."""
+    definition, whole = sent
     key = hash(definition)
     if key not in _LOADED:
         _LOADED[key] = ByteBPE(definition)
+        if whole is not None:
+            _LOADED[key].whole = whole
     return _LOADED[key]
