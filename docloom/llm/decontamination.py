@@ -8,8 +8,8 @@ item always meets its sketch, however long the document is: the search loses not
 then verified by exact containment of the shingle strings.
 
 Plan: documents' shingle hashes are exploded inside the scan's stage and meet the sketches by a hash
-join; Spark broadcasts those only when their measured size is under its threshold. Texts are joined
-again with the (few) candidates alone.
+join; Spark broadcasts those only when their measured size is under its threshold. Texts meet their candidates,
+one row a document, in one join without a hint, which Spark plans by measured size as well.
 
 Defined results: words are split at ASCII white space and compared without the case of A-Z. Items with
 fewer than five words have one shingle, their whole sequence; items without words never leak. Null or
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import ascii_lower, cut, pinned, shingle_hashes, sized, words_of
+from docloom.llm.common import ascii_lower, columns, cut, pinned, shingle_hashes, words_of
 
 SHINGLE = 5
 
@@ -45,26 +45,40 @@ def sketches(items: DataFrame, threshold: float, id_col: str, text: str) -> Data
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_hash, item_id, n_item_shingles, n_shared, containment) per leaking pair of rows."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("body"))
+    found, sizes = _candidates(own, items, threshold, item_id, item_text)
+    both = own.join(found.toDF("__d_id", "__d_hash", "__d_met"), F.col("doc_id").eqNullSafe(F.col("__d_id")) & (F.col("text_hash") == F.col("__d_hash")))
+    leaks = _leaks(both, "body", sizes, threshold).select("doc_id", "text_hash", F.inline("__d_leaks"))
+    return leaks.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
+
+
+def _candidates(own: DataFrame, items: DataFrame, threshold: float, item_id: str, item_text: str) -> tuple[DataFrame, list[int]]:
+    """((doc_id, text_hash, met): the items whose sketch a document of ``own(doc_id, text_hash, body)`` meets, with their shingles; the shingles' sizes)."""
     sk = cut(sketches(items, threshold, item_id, item_text))
     sizes = sorted({SHINGLE, *(r.k for r in sk.select("k").distinct().collect())})  # at most five values
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), words_of(ascii_lower(F.col(text))).alias("w"))
+    words = own.select("doc_id", "text_hash", words_of(ascii_lower(F.col("body"))).alias("w"))
     hashes = F.expr(f"concat({', '.join(shingle_hashes('w', k) for k in sizes)})")
-    met = base.select("doc_id", "text_hash", F.explode_outer(hashes).alias("h")).join(sk.select("item", F.explode("sketch").alias("h")), "h")
-    pairs = cut(met.select("doc_id", "text_hash", "item").distinct())
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["cand_doc"]) & (a["text_hash"] == b["cand_hash"])
-    cand = pairs.select(F.col("doc_id").alias("cand_doc"), F.col("text_hash").alias("cand_hash"), "item")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("body"))
-    both = texts.join(sized(cand), same(texts, cand)).join(sk.select("item", "item_id", "shingles", "n"), "item")
-    both = both.withColumn("w", words_of(ascii_lower(F.col("body")))).withColumn("own", F.expr(f"concat({', '.join(_shingles('w', k) for k in sizes)})"))
-    both = pinned(both, n_shared=F.size(F.array_intersect("shingles", "own")).cast("long"))
-    shared = both.select("doc_id", "text_hash", "item_id", F.col("n").alias("n_item_shingles"), "n_shared")
-    return shared.filter(F.col("n_shared") >= F.col("n_item_shingles") * threshold - 1e-9).withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
+    met = words.select("doc_id", "text_hash", F.explode_outer(hashes).alias("h")).join(sk.select("item", F.explode("sketch").alias("h")), "h")
+    pairs = met.select("doc_id", "text_hash", "item").distinct().join(sk.select("item", "item_id", "shingles", "n"), "item")
+    found = cut(pairs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "n", "shingles")).alias("met")))  # bounded by one document's shingles
+    return found, sizes
+
+
+def _leaks(both: DataFrame, text: str, sizes: list[int], threshold: float) -> DataFrame:
+    """Adds ``__d_leaks``: of the items ``__d_met``, those that the text holds by exact containment of their shingles."""
+    w = words_of(ascii_lower(F.col(text)))
+    both = pinned(both, __d_words=F.when(F.col("__d_met").isNotNull(), w))
+    both = pinned(both, __d_own=F.expr(f"IF(__d_met IS NOT NULL, concat({', '.join(_shingles('__d_words', k) for k in sizes)}), NULL)"))
+    shared = "transform(__d_met, x -> named_struct('item_id', x.item_id, 'n_item_shingles', x.n, 'n_shared', cast(size(array_intersect(x.shingles, __d_own)) AS long)))"
+    return pinned(both, __d_shared=F.expr(shared)).withColumn("__d_leaks", F.expr(f"filter(__d_shared, x -> x.n_shared >= x.n_item_shingles * {threshold!r}D - 1e-9)"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that leak no item, all columns kept."""
-    bad = cut(contaminated(docs, items, threshold, id_col, text).select(F.col("doc_id").alias("__bad_doc"), F.col("text_hash").alias("__bad_hash")).distinct())
-    return docs.join(sized(bad), docs[id_col].eqNullSafe(bad["__bad_doc"]) & (F.xxhash64(docs[text]) == bad["__bad_hash"]), "left_anti")
+    """The documents that leak no item, all columns kept. Texts meet their candidates in one join and are judged there."""
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("body"))
+    found, sizes = _candidates(own, items, threshold, "item_id", "text")
+    both = docs.join(found.toDF("__d_id", "__d_hash", "__d_met"), F.col(id_col).eqNullSafe(F.col("__d_id")) & (F.xxhash64(F.col(text)) == F.col("__d_hash")), "left")
+    return _leaks(both, text, sizes, threshold).filter("coalesce(size(__d_leaks), 0) <= 0").select(*columns(docs))
 
 
 def decontamination_query(docs: DataFrame, items: DataFrame) -> DataFrame:

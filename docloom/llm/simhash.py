@@ -4,13 +4,14 @@ Fingerprint: 64 majority bits over the XXH64 (seed 42) hashes of a text's word s
 included. Two fingerprints link when at most ``budget`` bits differ; groups are connected components.
 
 How the join scales. Equal fingerprints fall together first (partial aggregation), so a group of
-copies is one row from there on. A pair within the budget agrees on one of ``budget + 1`` bit blocks,
-so every distinct fingerprint is dealt once per block and only sub-tries with the same block meet.
-Each task builds the trie of its sub-tries as sorted arrays and walks *pairs of nodes* level by level:
-the differing bits add up and a pair beyond the budget is pruned with everything below it. Sub-tries
-over ``chunk`` rows are cut into chunks and joined chunk pair by chunk pair, so a hot block spreads
-over tasks. A task emits a spanning forest of its links, never all pairs. Components come from
-contracting edges, all in DataFrames; each round is written to the shared folder.
+copies is one row from there on. A pair within the budget agrees on one of ``budget + 1`` blocks of the
+open bits, so every distinct fingerprint is dealt once per block and only sub-tries with the same block
+meet. A sub-trie of at most ``limit`` rows is walked by one task, which holds the trie as sorted arrays and
+visits *pairs of nodes* level by level: the differing bits add up and a pair beyond the budget is pruned with
+everything below it. A larger sub-trie is dealt again by the blocks of the bits that are still open, so a hot
+block of n rows costs ``budget + 1`` copies a row and level whatever n is; after four levels at budget 2 thirteen
+bits are open at most, which bounds a sub-trie by 8,192 rows. A task emits a spanning forest of its links, never
+all pairs. Components come from contracting edges, all in DataFrames; each round is written to the shared folder.
 
 Defined results: a null or empty text, or one without words, has fingerprint 0 and links like any
 other. Fewer words than a shingle: the whole sequence is the only shingle. Repeated rows stay and share
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut, pinned, sized, small_batches
+from docloom.llm.common import columns, cut, forget, key_filter, maybe, passes, pinned, small_batches
 
 BITS = 64
 
@@ -117,21 +118,20 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _links(budget: int, rows: int):
-    def solve(u1, u2, fp, node) -> pa.RecordBatch:
-        order = np.lexsort((fp, u2, u1))
-        u1, u2, fp, node = u1[order], u2[order], fp[order], node[order]
-        unit = np.cumsum(np.r_[0, (u1[1:] != u1[:-1]) | (u2[1:] != u2[:-1])])
+    def solve(unit, fp, node) -> pa.RecordBatch:
+        order = np.lexsort((fp, unit))
+        unit, fp, node = unit[order], fp[order], node[order]
         root = forest(len(fp), *trie_pairs(unit, fp, budget))
         a = np.flatnonzero(root != np.arange(len(fp)))
         return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[root[a]])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)]
+        held = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)]
         for b in batches:
-            new = [b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy().view(np.uint64), b.column(3).to_numpy()]
+            new = [b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64), b.column(2).to_numpy()]
             held = [np.concatenate(x) for x in zip(held, new)]
             while len(held[0]) > rows:  # whole units only
-                change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])) + 1
+                change = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
                 cutoff = change[change <= rows].max(initial=0) or change.min(initial=len(held[0]))
                 if cutoff >= len(held[0]):
                     break
@@ -143,23 +143,42 @@ def _links(budget: int, rows: int):
     return run
 
 
-def links(fps: DataFrame, budget: int, chunk: int = 256) -> DataFrame:
+#: Sub-tries with so few open bits are walked as they are: they hold 2^13 distinct fingerprints at most.
+LEAST_BITS = 13
+
+
+def _deal(rows: DataFrame, budget: int) -> DataFrame:
+    """Each row once per block of its ``r`` open bits ``rest``: the block's value names the new unit, the other bits stay open."""
+    blocks = f"transform(sequence(0, {budget}), k -> named_struct('k', k, 'lo', cast(r * k div {budget + 1} AS int), 'hi', cast(r * (k + 1) div {budget + 1} AS int)))"
+    value = "IF(hi - lo >= 64, rest, shiftrightunsigned(rest, lo) & (shiftleft(1L, hi - lo) - 1))"
+    others = "shiftleft(IF(hi >= r, 0L, shiftrightunsigned(rest, hi)), lo) | (rest & (shiftleft(1L, lo) - 1))"
+    x = rows.select("*", F.inline(F.expr(blocks)))
+    return x.select(F.expr(f"xxhash64(unit, k, {value})").alias("unit"), "fp", "node", F.expr(others).alias("rest"), F.expr("r - (hi - lo)").alias("r"))
+
+
+def links(fps: DataFrame, budget: int, limit: int = 4096) -> DataFrame:
     """Spanning links (a, b) among the distinct fingerprints ``fps(fp)`` that differ in at most ``budget`` bits.
 
     With a column ``space`` only fingerprints of one space meet; with a column ``node`` links name nodes.
     """
-    node = F.col("node" if "node" in fps.columns else "fp").alias("node")
     small_batches(fps.sparkSession)
-    edges = [BITS * k // (budget + 1) for k in range(budget + 2)]
-    blocks = [F.shiftleft(F.lit(k).cast("long"), 58).bitwiseOR(F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << hi - lo) - 1).cast("long"))) if budget else F.col("fp") for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
-    if "space" in fps.columns:
-        blocks = [F.xxhash64("space", b) for b in blocks]
-    dealt = fps.select("fp", node, F.explode(F.array(*blocks)).alias("u1"))
-    counts = cut(dealt.groupBy("u1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / F.lit(chunk))))
-    mine = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("parts"))
-    pairs = F.expr("transform(sequence(0L, parts - 1), o -> least(c, o) * 1000000L + greatest(c, o))")
-    units = dealt.join(counts, "u1").withColumn("c", mine).select("u1", F.explode(pairs).alias("u2"), "fp", "node")
-    return units.repartition("u1", "u2").sortWithinPartitions("u1", "u2").mapInArrow(_links(budget, 16384), "a long, b long").distinct()
+    unit = F.xxhash64("space") if "space" in fps.columns else F.lit(0).cast("long")
+    level = fps.select(unit.alias("unit"), "fp", F.col("node" if "node" in fps.columns else "fp").alias("node"), F.col("fp").alias("rest"), F.lit(BITS).alias("r"))
+    out, before = None, None
+    while True:
+        dealt = _deal(level, budget)
+        counts = cut(dealt.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("open")).filter("n > 1"))
+        hot = (F.col("n") > limit) & (F.col("open") > LEAST_BITS)
+        met = dealt.join(counts, "unit")
+        walked = met.filter(~hot).select("unit", "fp", "node").repartition("unit").sortWithinPartitions("unit")
+        found = cut(walked.mapInArrow(_links(budget, 16384), "a long, b long").distinct())
+        out = found if out is None else out.union(found)
+        again = not counts.filter(hot).isEmpty()
+        following = cut(met.filter(hot).select(*level.columns)) if again else None
+        forget(counts, *([before] if before is not None else []))
+        if not again:
+            return out
+        level = before = following
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,38 +267,55 @@ def similar_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, budge
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [sub_fingerprints(shingle_set(t, size)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (0, 1))], ["uid", "spaces", "fps"])
+            sets_ = [shingle_set(t, size) for t in b.column(1).to_pylist()]
+            out = [sub_fingerprints(h) for h in sets_]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets_], pa.int64()), *(pa.array([x[k] for x in out], pa.list_(pa.int64())) for k in (0, 1))], ["uid", "w", "spaces", "fps"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hs = [np.unique(shingle_set(t, size).astype(np.uint32)).view(np.int32) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hs, pa.list_(pa.int32()))], ["uid", "hs"])
-
-    # no text is shuffled to drop equal ones: copies give the same few marks, which meet after the map side's aggregation
+    # no text is shuffled: copies give the same few marks, which meet after the map side's aggregation
     texts = docs.select(F.xxhash64(F.col(text)).alias("uid"), F.col(text).alias("t"))
-    marked = texts.mapInArrow(marks, "uid long, spaces array<long>, fps array<long>")
-    marked = cut(marked.groupBy("uid").agg(F.first("spaces").alias("spaces"), F.first("fps").alias("fps")))
-    subs = marked.select("uid", F.explode(F.arrays_zip("spaces", "fps")).alias("x")).select("uid", F.col("x.spaces").alias("space"), F.col("x.fps").alias("fp"))
-    first, second = (F.min(F.struct(F.xxhash64(F.lit(k), "uid").alias("h"), F.col("uid").alias("uid"))).getField("uid") for k in (1, 2))
-    heads = cut(subs.groupBy("space", "fp").agg(first.alias("node"), second.alias("node2"), F.count(F.lit(1)).alias("n")))
-    crowd = heads.filter("n > 1").select("space", "fp", F.array("node", "node2").alias("heads"))
-    stars = subs.join(crowd, ["space", "fp"]).select(F.col("uid").alias("a"), F.explode("heads").alias("b"))
-    near = links(heads.select("space", "fp", "node"), budget)
+    marked = texts.mapInArrow(marks, "uid long, w long, spaces array<long>, fps array<long>")
+    marked = cut(marked.groupBy("uid").agg(F.first("w").alias("w"), F.first("spaces").alias("spaces"), F.first("fps").alias("fps")))
+    subs = marked.select("uid", "w", F.explode(F.arrays_zip("spaces", "fps")).alias("x")).select("uid", "w", F.col("x.spaces").alias("space"), F.col("x.fps").alias("fp"))
+    first, second = (F.min(F.struct(F.xxhash64(F.lit(k), "uid").alias("h"), "uid", "w")) for k in (1, 2))
+    heads = cut(subs.groupBy("space", "fp").agg(first.alias("h1"), second.alias("h2"), F.count(F.lit(1)).alias("n")))
+    crowd = heads.filter("n > 1").select("space", "fp", F.array("h1", "h2").alias("heads"))
+    alike = lambda a, b: (F.col(a) >= F.lit(similarity) * F.col(b) - 1e-9) & (F.col(b) >= F.lit(similarity) * F.col(a) - 1e-9)  # noqa: E731  sets of other sizes can't reach the similarity
+    stars = subs.join(crowd, ["space", "fp"]).select(F.col("uid").alias("a"), "w", F.explode("heads").alias("h")).filter(alike("w", "h.w")).select("a", F.col("h.uid").alias("b"))
+    near = links(heads.select("space", "fp", F.col("h1.uid").alias("node")), budget)
     pairs = cut(stars.union(near).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    # only candidates' texts are read again for their shingle sets
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct())
-    held = texts.join(sized(wanted), F.col("uid") == F.col("wanted"), "left_semi").mapInArrow(sets, "uid long, hs array<int>")
-    held = cut(held.groupBy("uid").agg(F.first("hs").alias("hs")))
+    held = shingle_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct(), size)
     left = pairs.join(held.select(F.col("uid").alias("a"), F.col("hs").alias("ha")), "a")
     both = pinned(left.join(held.select(F.col("uid").alias("b"), F.col("hs").alias("hb")), "b"), both=F.size(F.array_intersect("ha", "hb")))
     roots = cut(components(both.filter(F.col("both") >= F.lit(similarity) * (F.size("ha") + F.size("hb") - F.col("both")) - 1e-9).select("a", "b")))
     # the heads met every member of their mark; of the others, only those in different components are left
-    rest = subs.join(heads.filter("n > 3").select("space", "fp", "node", "node2"), ["space", "fp"]).filter("uid <> node AND uid <> node2")
+    rest = subs.join(heads.filter("n > 3").select("space", "fp", "h1", "h2"), ["space", "fp"]).filter("uid <> h1.uid AND uid <> h2.uid")
     rest = rest.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").select(F.xxhash64("space", "fp").alias("mark"), "uid", F.coalesce("root", "uid").alias("root"))
-    more = cut(components(unresolved(cut(rest), held, similarity)))
+    rest = cut(rest)
+    more = cut(components(unresolved(rest, held, similarity)))
     up = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-    return up.union(more.join(roots.select("node"), "node", "left_anti").select("node", "root"))
+    out = cut(up.union(more.join(roots.select("node"), "node", "left_anti").select("node", "root")))
+    forget(marked, heads, pairs, held, roots, rest, more)
+    return out
+
+
+def shingle_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(uid, hs): 32-bit shingle hashes of the texts ``texts(uid, t)`` that are wanted, once each, as a written table.
+
+    The sets are made where the texts are read, behind a filter of fixed size, so no text is shuffled.
+    """
+    wanted = cut(wanted)
+    known = key_filter(wanted)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(maybe(known.value, b.column(0).to_numpy())))
+            hs = [np.unique(shingle_set(t, size).astype(np.uint32)).view(np.int32) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hs, pa.list_(pa.int32()))], ["uid", "hs"])
+
+    made = texts.mapInArrow(sets, "uid long, hs array<int>").groupBy("uid").agg(F.first("hs").alias("hs"))
+    out = cut(made.join(wanted.withColumnRenamed("wanted", "uid"), "uid", "left_semi"))
+    forget(wanted)
+    return out
 
 
 def similar_pairs(sizes: np.ndarray, flat: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -358,21 +394,22 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: st
     Groups are components of ``similar_texts``; equal texts belong together (by a 64-bit hash). Texts without
     words are alike only if equal. Of rows that repeat both id and text one stays.
     """
-    uid = F.xxhash64(F.col(text))
-    ids = cut(docs.select(uid.alias("uid"), F.col(id_col).alias("doc")).groupBy("uid", "doc").agg(F.count(F.lit(1)).alias("n")))
-    roots = cut(similar_texts(docs, size, similarity, text=text))
-    classes = ids.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    classes = cut(classes)
+    uid, doc = F.xxhash64(F.col(text)), F.col(id_col)
+    ids = cut(docs.select(uid.alias("uid"), doc.alias("doc")).groupBy("uid", "doc").agg(F.count(F.lit(1)).alias("n")))
+    roots = similar_texts(docs, size, similarity, text=text)
+    classes = cut(ids.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid")))
     low = F.min(F.struct(F.col("doc").isNull().alias("z"), "doc", "uid"))
-    best = cut(classes.groupBy("root").agg(low.alias("best"), F.sum("n").alias("n")).filter("n > 1"))
-    verdict = classes.join(best.select("root", "best"), "root").select("uid", "best").distinct()
-    verdict = cut(verdict.select(F.col("uid").alias("__s_uid"), F.col("best.doc").alias("__s_doc"), F.col("best.uid").alias("__s_keep")))
-    again = cut(ids.filter("n > 1").select(F.col("uid").alias("__s_uid2"), F.col("doc").alias("__s_doc2")))
-    judged = docs.withColumn("__s_key", uid).join(sized(verdict), F.col("__s_key") == F.col("__s_uid"), "left")
-    kept = judged.filter(F.col("__s_uid").isNull() | (F.col("__s_keep") == F.col("__s_key")) & F.col(id_col).eqNullSafe(F.col("__s_doc"))).select(*docs.columns, "__s_key")
-    twice = (F.col("__s_key") == F.col("__s_uid2")) & F.col(id_col).eqNullSafe(F.col("__s_doc2"))
-    once = kept.join(sized(again), twice, "left_anti").select(*docs.columns)
-    return once.union(kept.join(sized(again), twice, "left_semi").dropDuplicates([id_col, text]).select(*docs.columns))
+    best = cut(classes.groupBy("root").agg(low.alias("best"), F.sum("n").alias("n")).filter("n > 1").select("root", "best"))
+    stays = F.col("best.doc").eqNullSafe(F.col("doc")) & (F.col("best.uid") == F.col("uid"))
+    verdict = classes.join(best, "root").filter(~stays | (F.col("n") > 1)).select("uid", "doc", stays.alias("once"))
+    verdict = cut(verdict.toDF("__s_uid", "__s_doc", "__s_once"))
+    known = key_filter(verdict.select(F.xxhash64("__s_uid", "__s_doc")))
+    # rows that the filter lets through meet the verdicts; all others stay where they are
+    asked = docs.withColumn("__s_key", uid).withColumn("__s_maybe", passes(known, F.xxhash64("__s_key", doc)))
+    judged = asked.filter("__s_maybe").join(verdict, (F.col("__s_key") == F.col("__s_uid")) & doc.eqNullSafe(F.col("__s_doc")), "left")
+    free = asked.filter("NOT __s_maybe").select(*columns(docs)).union(judged.filter("__s_uid IS NULL").select(*columns(docs)))
+    forget(ids, classes, best, roots)
+    return free.union(judged.filter("__s_once").dropDuplicates([id_col, text]).select(*columns(docs)))
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:

@@ -10,9 +10,11 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from docloom.llm import decontamination, lines, lm_scoring, packing, quality, secret_scan, sharding, simhash, token_counts, token_output
 from docloom.llm.bpe import ByteBPE, Encoder
+from docloom.llm.common import key_filter, maybe
 from docloom.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -111,7 +113,7 @@ def test_simhash(docs, empty):
     assert simhash.simhash_query(empty).count() == 0
 
 
-@pytest.mark.parametrize("budget,chunk", [(2, 256), (2, 4), (3, 8), (0, 256)])
+@pytest.mark.parametrize("budget,chunk", [(2, 4096), (2, 4), (3, 8), (0, 256)])
 def test_trie_links(spark, budget, chunk):
     rng = random.Random(budget)
     centres = [rng.getrandbits(64) for _ in range(6)]
@@ -123,6 +125,39 @@ def test_trie_links(spark, budget, chunk):
     assert len(set(zip(mine, brute))) == len(set(mine)) == len(set(brute))
 
 
+def test_trie_links_hot_block(spark):
+    """50,000 fingerprints with one block in common: copies grow by levels, not with the block's size."""
+    rng = np.random.default_rng(4)
+    fps = np.unique(rng.integers(0, 1 << 42, 50_000)) | (0x155555 << 42)
+    near = fps[:300] ^ (1 << rng.integers(0, 42, 300))
+    allf = np.unique(np.r_[fps, near])
+    df = spark.createDataFrame([(int(f),) for f in allf], "fp long")
+    level = df.select(F.lit(0).cast("long").alias("unit"), "fp", F.col("fp").alias("node"), F.col("fp").alias("rest"), F.lit(64).alias("r"))
+    assert simhash._deal(level, 2).count() == 3 * len(allf)
+    got_links = {(r.a, r.b) for r in simhash.links(df, 2).collect()}
+    assert all((a ^ b).bit_count() <= 2 * 40 for a, b in got_links)  # spanning links
+    comp = {r.node: r.root for r in simhash.components(spark.createDataFrame(list(got_links), "a long, b long")).collect()}
+    have, pairs = set(allf.tolist()), []
+    for f in allf.tolist():
+        for i in range(64):
+            g = f ^ (1 << i)
+            if g - (g >> 63 << 64) in have:
+                pairs.append((f, g))
+            pairs += [(f, g ^ (1 << j)) for j in range(i) if i < 42 and g ^ (1 << j) in have]
+    assert len(pairs) >= 600 and all(comp[a] == comp[b] for a, b in pairs)
+    assert len(comp) == len({x for p in pairs for x in p})
+
+
+def test_key_filter(spark):
+    rng = np.random.default_rng(7)
+    keys = rng.integers(-(1 << 63), 1 << 63, 30_000)
+    df = spark.createDataFrame([(int(k),) for k in keys[:10_000]], "k long").repartition(4)
+    words = key_filter(df).value
+    hit = maybe(words, keys)
+    assert hit[:10_000].all() and hit[10_000:].mean() < 0.01
+    assert not maybe(key_filter(df.limit(0)).value, keys).any()
+
+
 def jaccard(a, b, k=5):
     s = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (x.encode().lower().split() for x in (a, b))]
     return len(s[0] & s[1]) / len(s[0] | s[1])
@@ -149,6 +184,8 @@ def test_keep_one(spark, empty):
     first = {g: group.index(g) for g in group}
     assert set(first.values()) <= kept and not kept - set(first.values()) - {len(texts) - 3, len(texts) - 2}
     assert simhash.keep_one(df).columns == df.columns and simhash.keep_one(empty).count() == 0
+    odd = df.limit(3).selectExpr("*", "1 AS `a.b`", "2 AS root", "3 AS uid", "4 AS doc", "5 AS n").union(df.limit(1).selectExpr("*", "1", "2", "3", "4", "5"))
+    assert simhash.keep_one(odd).columns == odd.columns and simhash.keep_one(odd).count() == len({group[i] for i in range(3)})
 
 
 @pytest.mark.parametrize("chunk", [256, 16])
@@ -203,6 +240,29 @@ def test_bpe(library):
         assert library.encode(s, add_special_tokens=False).ids == [i]
 
 
+LONG_TEXTS = [" " * 2_000_000, "a" * 2_000_000, "x " * 600_000 + "\n" * 400_000 + "end", "word, " * 30_000 + "<|endoftext|>" + "\t" * 150_000 + "\u65e5" * 120_000]
+
+
+def test_bpe_long_runs(spark, library):
+    """Runs of two million equal characters and texts beyond the core splitter's stack."""
+    bpe = ByteBPE(open(tokenizer_path(), encoding="utf-8").read())
+    df = spark.createDataFrame(list(enumerate(LONG_TEXTS)), "doc_id long, text string")
+    want = [library.encode(t, add_special_tokens=False).ids for t in LONG_TEXTS]
+    for t, ids in zip(LONG_TEXTS, want):
+        assert np.array_equal(np.frombuffer(Encoder(bpe).encode(t), "<u4"), ids)
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(df, tokenizer_path()).collect()} == {i: len(x) for i, x in enumerate(want)}
+    assert packing.pack(df, tokenizer_path()).groupBy().sum("length").first()[0] == sum(map(len, want)) + len(want)
+    assert token_output.packed_ids(df, tokenizer_path()).groupBy().sum("n_tokens").first()[0] == sum(map(len, want)) + len(want)
+
+
+def test_bpe_20_mb(library):
+    bpe = ByteBPE(open(tokenizer_path(), encoding="utf-8").read())
+    t = ("The quick brown fox can't jump; 12 dogs\n  sleep. \u00fcber " * 400_000)[:20_000_000]
+    head = library.encode(t[:200_000], add_special_tokens=False).ids
+    ids = np.frombuffer(Encoder(bpe).encode(t), "<u4")
+    assert ids[: len(head) - 5].tolist() == head[:-5] and library.decode(ids[-1000:].tolist()) == t[-len(library.decode(ids[-1000:].tolist())) :]
+
+
 def test_token_counts(docs, empty, library):
     want = sorted(((r.doc_id, len((r.text or "").encode()), n := len(library.encode(r.text or "", add_special_tokens=False).ids), n > 1024) for r in docs.collect()), key=repr)
     assert sorted(map(tuple, token_counts.token_counts(docs, tokenizer_path()).collect()), key=repr) == want
@@ -269,6 +329,26 @@ def test_sharding(docs, empty):
     assert sorted(map(key, again)) == sorted(map(key, found))
 
 
+def test_sharding_is_fixed_by_records_and_seed(spark):
+    """Many buckets, other partitions, other settings, other input order: the same places; another seed: others."""
+    df = spark.range(500).selectExpr("id AS doc_id", "repeat('x', cast(id % 7 AS int)) AS text", "map('k', id) AS extra", "1 AS bucket", "2 AS `a.b`")
+    before, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n, parts in ((1, 1), (3, 5), (8, 2)):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out = sharding.shuffled(df.repartition(parts), bucket_rows=8).select("row.doc_id", "place").collect()
+            found.append(sorted(map(tuple, out)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2] and sorted(p for _, p in found[0]) == list(range(500))
+    other = sorted(map(tuple, sharding.shuffled(df, seed=1, bucket_rows=8).select("row.doc_id", "place").collect()))
+    assert sum(a == b for a, b in zip(found[0], other)) < 50
+    places = np.array([p for _, p in found[0]])
+    assert abs(np.corrcoef(np.arange(500), places)[0, 1]) < 0.2
+    one = spark.range(40).selectExpr("1 AS doc_id", "repeat('y', 1000) AS text")  # one record, repeated
+    assert sorted(r.place for r in sharding.shuffled(one, bucket_rows=16, bucket_bytes=4000).collect()) == list(range(40))
+
+
 def test_write_shards(docs, tmp_path, spark):
     sharding.write_shards(docs, str(tmp_path / "s"), 4, bucket_rows=8)
     back = spark.read.parquet(str(tmp_path / "s"))
