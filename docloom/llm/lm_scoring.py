@@ -219,30 +219,6 @@ def windows(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 OFFSETS = np.array([k for k in range(-SIDE, SIDE + 1) if k])
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
-
-
-def forward(p: dict, ids: np.ndarray, at: np.ndarray):
-    """(log-probabilities, and what the backward pass needs) of the words at ``at``."""
-    context = ids[at[:, None] + OFFSETS]
-    x = p["E"][context].reshape(len(at), -1)
-    h = np.tanh(x @ p["W"] + p["b"])
-    klass, word = np.divmod(ids[at], IN_CLASS)
-    pc = _softmax(h @ p["C"] + p["c"])
-    order = np.argsort(klass, kind="stable")
-    ends = np.searchsorted(klass[order], np.arange(CLASSES + 1))
-    pw = np.empty((len(at), IN_CLASS), np.float32)
-    for k in range(CLASSES):
-        if ends[k] < ends[k + 1]:
-            rows = order[ends[k] : ends[k + 1]]
-            pw[rows] = _softmax(h[rows] @ p["O"][k] + p["o"][k])
-    n = np.arange(len(at))
-    logp = np.log(np.maximum(pc[n, klass], 1e-30)) + np.log(np.maximum(pw[n, word], 1e-30))
-    return logp, (context, x, h, klass, word, pc, pw, order, ends)
-
-
 def _log_softmax_at(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     top = z.max(1)
     picked = z[np.arange(len(y)), y] - top
@@ -268,21 +244,35 @@ def log_probs(p: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return back
 
 
+def _errors(z: np.ndarray, n: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Gradients of the mean negative log-softmax at ``y``, in place."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z *= np.float32(1 / len(z)) / z.sum(1, keepdims=True)
+    z[n, y] -= np.float32(1 / len(z))
+    return z
+
+
 def step(p: dict, g: dict, ids: np.ndarray, at: np.ndarray, rate: float) -> None:
-    """One gradient step on the words at ``at``, each weight by its own past gradients ``g`` (AdaGrad)."""
-    _, (context, x, h, klass, word, pc, pw, order, ends) = forward(p, ids, at)
-    n = np.arange(len(at))
-    pc[n, klass] -= 1
-    pw[n, word] -= 1
-    pc /= len(at)
-    pw /= len(at)
+    """One gradient step on the words at ``at``, each weight by its own past gradients ``g`` (AdaGrad); a class's words lie together."""
+    order = np.argsort(ids.take(at).astype(np.int16), kind="stable")
+    at = at.take(order)
+    klass, word = np.divmod(ids.take(at), IN_CLASS)
+    ends = np.searchsorted(klass, np.arange(CLASSES + 1)).tolist()
+    spans = [(k, a, b) for k, (a, b) in enumerate(zip(ends, ends[1:])) if a < b]
+    context, n = ids.take(at[:, None] + OFFSETS), np.arange(len(at))
+    x = p["E"].take(context, axis=0).reshape(len(at), -1)
+    h = np.tanh(x @ p["W"] + p["b"])
+    pc, pw = _errors(h @ p["C"] + p["c"], n, klass), np.empty((len(at), IN_CLASS), np.float32)
+    for k, a, b in spans:
+        np.matmul(h[a:b], p["O"][k], out=pw[a:b])
+        pw[a:b] += p["o"][k]
+    pw = _errors(pw, n, word)
     dh, dO, do = pc @ p["C"].T, np.zeros_like(p["O"]), np.zeros_like(p["o"])
-    for k in range(CLASSES):
-        rows = order[ends[k] : ends[k + 1]]
-        if len(rows):
-            dh[rows] += pw[rows] @ p["O"][k].T
-            dO[k] = h[rows].T @ pw[rows]
-            do[k] = pw[rows].sum(0)
+    for k, a, b in spans:
+        dh[a:b] += pw[a:b] @ p["O"][k].T
+        np.matmul(h[a:b].T, pw[a:b], out=dO[k])
+        pw[a:b].sum(0, out=do[k])
     dz = dh * (1 - h * h)
     dx = (dz @ p["W"].T).reshape(-1, DIM)
     cell = (context.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
