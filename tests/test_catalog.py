@@ -5,10 +5,10 @@ import pytest
 
 from docloom.functions import extract
 from docloom.operators.index import postings
-from docloom.plans import catalog, experiments
+from docloom.plans import catalog, experiments, legal
 from docloom.plans.catalog import FLAGSHIP
 
-QUERIES, ORACLES = catalog.QUERIES | experiments.QUERIES, catalog.ORACLES | experiments.ORACLES
+QUERIES, ORACLES = catalog.QUERIES | experiments.QUERIES | legal.QUERIES, catalog.ORACLES | experiments.ORACLES | legal.ORACLES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -42,5 +42,10 @@ def test_flagship_plan(spark):
     df = QUERIES[FLAGSHIP](spark, SF)
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = postings(docs, "doc_id", unique=True)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Exchange" not in plan
+    one, many = (sorted(map(tuple, postings(docs, "doc_id", ngram=2, unique=u).collect())) for u in (True, False))
+    assert one == many
     plan = postings(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and plan.count("Exchange") == 1
+    below = plan[plan.rindex("Exchange") :]  # what moves first is counted already
+    assert "partial_sum" in below and below.index("partial_sum") < below.index("Generate")
