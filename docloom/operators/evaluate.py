@@ -147,3 +147,61 @@ def label_f1(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     c = g.join(p, ["case_id", "label"], "full").groupBy("label").agg(F.sum(F.coalesce(F.col("g") * F.col("p"), F.lit(0))).alias("tp"), F.coalesce(F.sum("g"), F.lit(0)).alias("g"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"))
     ratio = lambda n: F.when(F.col(n) > 0, F.col("tp") / F.col(n)).otherwise(0.0)
     return c.select("label", *_prf(ratio("p"), ratio("g")))
+
+
+def summary(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """A row per k: means of P, R, F1, NDCG and AP at k, micro F1 at k, and MAP, MRR and R-precision over whole lists.
+
+    Means go over the queries of the run that have gold, micro F1 over every query of the run; own documents are excluded.
+    """
+    rel = qrels.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"))
+    k = F.explode(F.array(*map(F.lit, ks))).alias("k")
+    every = run.select("query_id").distinct().join(rel, "query_id", "left").withColumn("n_rel", F.coalesce("n_rel", F.lit(0)))
+    h = _hits(without_self(run), qrels).join(rel, "query_id", "left")
+    h = h.withColumn("hits", F.sum("hit").over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)))
+    at = F.col("rank") <= F.col("k")
+    per = h.select("*", k).groupBy("query_id", "k").agg(
+        F.sum(F.when(at, F.col("hit")).otherwise(0)).alias("h"), F.sum(at.cast("int")).alias("n"), F.sum(F.when(at, F.col("hit") * F.col("hits") / F.col("rank")).otherwise(0.0)).alias("ap"),
+        F.sum(F.when(at, F.col("hit") / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"), F.sum(F.col("hit") * F.col("hits") / F.col("rank")).alias("all_ap"),
+        F.max(F.col("hit") / F.col("rank")).alias("rr"), F.sum(F.when(F.col("rank") <= F.col("n_rel"), F.col("hit")).otherwise(0)).alias("rp"),
+    )
+    v = every.select("*", k).join(per, ["query_id", "k"], "left").na.fill(0)
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("n_rel", "k").cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0))
+    p, r = F.col("h") / F.col("k"), F.col("h") / F.col("n_rel")
+    gold = F.col("n_rel") > 0
+    mean = lambda c, name: F.round(F.avg(F.when(gold, c)), 6).alias(name)
+    out = v.groupBy("k").agg(
+        F.sum(gold.cast("int")).alias("n_queries"), mean(p, "p"), mean(r, "r"), mean(F.when(F.col("h") == 0, 0.0).otherwise(2 * p * r / (p + r)), "f1"), mean(F.col("dcg") / ideal, "ndcg"),
+        mean(F.col("ap") / F.least("n_rel", "k"), "map_at_k"), mean(F.col("all_ap") / F.col("n_rel"), "map"), mean(F.col("rr"), "mrr"), mean(F.col("rp") / F.col("n_rel"), "r_precision"),
+        F.sum("h").alias("tp"), F.sum("n").alias("m"), F.sum("n_rel").alias("g"),
+    )
+    return out.withColumn("micro_f1", F.round(F.coalesce(F.try_divide(2 * F.col("tp"), F.col("m") + F.col("g")), F.lit(0.0)), 6)).drop("tp", "m", "g")
+
+
+def macro_official(run: DataFrame, qrels: DataFrame, k: int, candidates: DataFrame | None = None) -> DataFrame:
+    """One row: means at k over every query of the gold, missing predictions as empty lists, P always over k; ``candidates(doc_id)`` restricts the lists first."""
+    run = run if candidates is None else run.join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    rel = qrels.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"))
+    h = _hits(without_self(run).filter(F.col("rank") <= k), qrels)
+    h = h.withColumn("hits", F.sum("hit").over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)))
+    per = h.groupBy("query_id").agg(F.sum("hit").alias("h"), F.sum(F.col("hit") * F.col("hits") / F.col("rank")).alias("ap"), F.sum(F.col("hit") / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.max(F.col("hit") / F.col("rank")).alias("rr"))
+    v = rel.join(per, "query_id", "left").na.fill(0)
+    few = F.least("n_rel", F.lit(k))
+    ideal = F.aggregate(F.sequence(F.lit(1), few.cast("int")), F.lit(0.0), lambda s, r: s + 1 / F.log2(r + 1.0))
+    p, r = F.col("h") / k, F.col("h") / F.col("n_rel")
+    values = {"prec": p, "rec": r, "f1": F.when(F.col("h") == 0, 0.0).otherwise(2 * p * r / (p + r)), "ap": F.col("ap") / few, "rr": F.col("rr"), "ndcg": F.col("dcg") / ideal}
+    return v.agg(F.count(F.lit(1)).alias("n_queries"), *(F.round(F.avg(c), 6).alias(n) for n, c in values.items()))
+
+
+def by_threshold(run: DataFrame, qrels: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
+    """A row per threshold: pairs of the run at or above it are predicted; precision, recall and F1 over pairs, own documents excluded."""
+    rel = qrels.select("query_id", "doc_id").distinct().withColumn("rel", F.lit(1))
+    j = run.filter("query_id <> doc_id").join(rel, ["query_id", "doc_id"], "left").select("score", F.coalesce("rel", F.lit(0)).alias("hit"))
+    c = j.select("*", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).groupBy("threshold").agg(F.sum(F.when(F.col("score") >= F.col("threshold"), F.col("hit")).otherwise(0)).alias("tp"), F.sum((F.col("score") >= F.col("threshold")).cast("int")).alias("n"))
+    c = c.crossJoin(rel.agg(F.count(F.lit(1)).alias("g")))  # one row
+    return c.select("threshold", "tp", *_prf(F.coalesce(F.try_divide("tp", "n"), F.lit(0.0)), F.coalesce(F.try_divide("tp", "g"), F.lit(0.0))))
+
+
+def macro_label_f1(per_label: DataFrame) -> DataFrame:
+    """One row: means of the labels' precision, recall and F1 (``label_f1``)."""
+    return per_label.agg(F.count(F.lit(1)).alias("n_labels"), *(F.round(F.avg(c), 6).alias(f"macro_{c}") for c in ("precision", "recall", "f1")))

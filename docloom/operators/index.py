@@ -51,10 +51,12 @@ class TermIndex:
         return cls.over(written(postings(docs, "doc_id", ngram=ngram, tokens=tokens, unique=unique)), docs, min_df, max_df)
 
     @classmethod
-    def over(cls, stored: DataFrame, docs: DataFrame, min_df: int = 1, max_df: float = 1.0) -> TermIndex:
-        """The index of postings that are stored already; terms outside the bounds leave the vocabulary."""
+    def over(cls, stored: DataFrame, docs: DataFrame, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None) -> TermIndex:
+        """The index of postings that are stored already; terms outside the bounds leave the vocabulary, and of the rest those beyond the ``max_features`` most frequent."""
         size = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(stored.agg(F.sum("tf").alias("total"))).select("n_docs", (F.col("total") / F.col("n_docs")).alias("avgdl"))  # one row each
-        terms = stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        terms = stored.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
         if min_df > 1 or max_df < 1:
             terms = terms.crossJoin(F.broadcast(size.select("n_docs"))).filter((F.col("df") >= min_df) & (F.col("df") <= F.floor(F.col("n_docs") * max_df))).drop("n_docs")
-        return cls(stored, terms, size)
+        if max_features:
+            terms = terms.orderBy(F.desc("total"), "term").limit(max_features)
+        return cls(stored, terms.drop("total"), size)

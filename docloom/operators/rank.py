@@ -124,3 +124,65 @@ def chunk_scores(pairs: DataFrame, how: str = "max", n: int = 3) -> DataFrame:
     best = pairs.groupBy(*key, "d_chunk").agg(F.max("sim").alias("s"))
     ranked = best.withColumn("r", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("s"), "d_chunk")))
     return ranked.filter(F.col("r") <= n).groupBy(*key).agg(F.round(F.sum("s"), 6).alias("score"))
+
+
+def znorm_smoothed(run: DataFrame, eps: float = 1e-10) -> DataFrame:
+    """(score - mean) / (population deviation + eps) per query."""
+    s = _stats(run, F.avg("score").alias("m"), F.stddev_pop("score").alias("s"))
+    return s.select("query_id", "doc_id", ((F.col("score") - F.col("m")) / (F.col("s") + eps)).alias("score"))
+
+
+def minmax_or_zero(run: DataFrame) -> DataFrame:
+    """Scores on 0 to 1 per query; 0 where they don't vary."""
+    s = _stats(run, F.min("score").alias("lo"), F.max("score").alias("hi"))
+    return s.select("query_id", "doc_id", F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0).alias("score"))
+
+
+def complete_top(run: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``top`` over every candidate: documents without a common term have score 0 and follow by doc_id.
+
+    A query needs k such documents at most and misses k of the smallest ids at most, so the 2k smallest ids are enough.
+    """
+    best = top(run, k)
+    few = docs.select("doc_id").distinct().orderBy("doc_id").limit(2 * k)
+    zero = queries.select("query_id").distinct().crossJoin(F.broadcast(few)).join(best, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))  # 2k rows a query
+    return top(best.select("query_id", "doc_id", "score").unionByName(zero), k)
+
+
+def two_stage(first: DataFrame, second: DataFrame, depth: int, alpha: float) -> DataFrame:
+    """The first run's best ``depth`` documents, scored by alpha z(first) + (1 - alpha) z(second) inside that pool."""
+    pool = top(first, depth).select("query_id", "doc_id", "score")
+    other = pool.select("query_id", "doc_id").join(second, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return fuse(znorm(pool), znorm(other), alpha)
+
+
+def features(tfidf: DataFrame, bm25: DataFrame, index, queries: DataFrame, depth: int) -> DataFrame:
+    """Features of the pairs in the BM25 run's best ``depth``: both scores, the rank as a share, lengths, their ratio and the Jaccard similarity of the vocabularies."""
+    from docloom.operators.index import postings
+
+    short = top(bm25, depth).withColumnRenamed("score", "bm25")
+    q = postings(queries, "query_id")
+    ql = q.groupBy("query_id").agg(F.first("dl").alias("ql"), F.count(F.lit(1)).alias("qn"))
+    cl = index.postings.groupBy("doc_id").agg(F.first("dl").alias("cl"), F.count(F.lit(1)).alias("cn"))
+    own = index.postings.join(short.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "term")
+    common = q.select("query_id", "term").join(own, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("c"))
+    j = short.join(tfidf.withColumnRenamed("score", "tfidf"), ["query_id", "doc_id"], "left").join(ql, "query_id").join(cl, "doc_id").join(common, ["query_id", "doc_id"]).crossJoin(F.broadcast(index.size))  # one row
+    r = lambda c, n: F.round(c, 6).alias(n)
+    a, b = F.col("ql") + 1, F.col("cl") + 1
+    return j.select("query_id", "doc_id", F.coalesce("tfidf", F.lit(0.0)).alias("tfidf"), "bm25", (1 - F.col("rank") / F.col("n_docs")).alias("rank_feature"), r(F.log(a) / 10, "q_len"), r(F.log(b) / 10, "c_len"), r(F.least(a, b) / F.greatest(a, b), "len_ratio"), r(F.col("c") / (F.col("qn") + F.col("cn") - F.col("c")), "vocab_jac"))
+
+
+def by_role_sets(turns: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """(roles, n_conversations, n_turns, n_chars) of every non-empty set of roles, from one pass that deals a turn to the sets holding its role."""
+    from itertools import combinations
+
+    names = [x for n in range(1, len(roles) + 1) for x in combinations(sorted(roles), n)]
+    sets_ = F.array(*(F.struct(F.lit("+".join(x)).alias("roles"), F.array(*map(F.lit, x)).alias("members")) for x in names))
+    dealt = turns.select("conv_id", "text", F.explode(F.filter(sets_, lambda s: F.array_contains(s["members"], F.col("role")))).alias("s"))
+    return dealt.groupBy("s.roles").agg(F.count_distinct("conv_id").alias("n_conversations"), F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("text")).alias("n_chars"))
+
+
+def seeded_sample(rows: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
+    """(id, draw): n rows by the order of a seeded hash of their id, the same on any partitioning."""
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")).cast("binary"))
+    return rows.select(id_col, draw.alias("draw")).orderBy("draw", id_col).limit(n)

@@ -23,6 +23,8 @@ TF = {
     "augmented": lambda tf, top: 0.5 + 0.5 * tf / top,
     "log1p": lambda tf, top: F.log1p(tf),
     "sublinear": lambda tf, top: F.log(1 + F.log(1 + tf)),
+    "saturation": lambda tf, top: tf / (tf + 1.0),
+    "pivot": lambda tf, top: (1 + F.log(1 + F.log(tf))) / (1 - 0.3 + 0.3 * F.col("dl") / F.col("avgdl")),
 }
 
 
@@ -46,12 +48,12 @@ def bm25(index: TermIndex, queries: DataFrame, kind: str = "okapi", k1: float =
 
 def doc_weights(index: TermIndex, scheme: str = "log", idf: str = "smooth") -> DataFrame:
     """(doc_id, term, w): TF-IDF weights of the vocabulary's terms, not normalised."""
-    return index.postings.join(index.terms, "term").crossJoin(F.broadcast(index.size.select("n_docs"))).select("doc_id", "term", _weight(scheme, idf).alias("w"))  # one row
+    return index.postings.join(index.terms, "term").crossJoin(F.broadcast(index.size)).select("doc_id", "term", _weight(scheme, idf).alias("w"))  # one row
 
 
 def query_weights(index: TermIndex, queries: DataFrame, scheme: str = "log", idf: str = "smooth", tokens: Column | None = None) -> DataFrame:
     """(query_id, term, df, w) of the query terms in the vocabulary."""
-    q = postings(queries, "query_id", tokens=tokens).join(index.terms, "term").crossJoin(F.broadcast(index.size.select("n_docs")))  # one row
+    q = postings(queries, "query_id", tokens=tokens).join(index.terms, "term").crossJoin(F.broadcast(index.size))  # one row
     return q.select("query_id", "term", "df", _weight(scheme, idf).alias("w"))
 
 
@@ -78,7 +80,7 @@ def tfidf(index: TermIndex, queries: DataFrame, scheme: str = "log", idf: str =
     """
     q = query_weights(index, queries, scheme, idf, tokens)
     vocab = q.select("term", "df").distinct()
-    hit = index.postings.join(vocab, "term").crossJoin(F.broadcast(index.size.select("n_docs"))).select("doc_id", "term", _weight(scheme, idf).alias("w"))  # one row
+    hit = index.postings.join(vocab, "term").crossJoin(F.broadcast(index.size)).select("doc_id", "term", _weight(scheme, idf).alias("w"))  # one row
     return cosine(q, hit, norms(doc_weights(index, scheme, idf), "doc_id"))
 
 
@@ -88,3 +90,14 @@ def dense_top(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     q = queries.select("query_id", F.col("v").alias("q"), F.sqrt(dot(F.col("v"), F.col("v"))).alias("nq"))
     d = vectors.select("doc_id", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("nd"))
     return d.crossJoin(q).select("query_id", "doc_id", F.round(dot(F.col("q"), F.col("v")) / (F.col("nq") * F.col("nd") + 1e-10), 6).alias("score"))  # a stated query set against all rows
+
+
+def bm25_floor(index: TermIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75, eps: float = 0.25) -> DataFrame:
+    """BM25 whose idf is ln((n - df + 0.5) / (df + 0.5)); a negative one becomes ``eps`` times the mean over the vocabulary."""
+    raw = index.terms.crossJoin(F.broadcast(index.size)).withColumn("idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row
+    mean = raw.agg(F.avg("idf").alias("mean"))
+    q = postings(queries, "query_id").select("query_id", F.col("term"), F.col("tf").alias("qtf")).join(raw, "term").crossJoin(F.broadcast(mean))  # one row
+    hits = q.join(index.postings, "term")
+    weight = F.when(F.col("idf") < 0, eps * F.col("mean")).otherwise(F.col("idf"))
+    part = F.col("qtf") * weight * _bm25("okapi", F.col("tf"), 1 - b + b * F.col("dl") / F.col("avgdl"), k1, 0.0)
+    return hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))

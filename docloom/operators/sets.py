@@ -14,14 +14,14 @@ def counted(mentions: DataFrame, id_col: str = "id", element: str = "element") -
 def multiset_similarity(a: DataFrame, b: DataFrame, least_shared: int = 1) -> DataFrame:
     """(query_id, doc_id, shared, recall, soft_jaccard, freq_coupling, freq_idf_cosine) of counted sets a and b.
 
-    Element weights are smooth idf over ``b``. An element that a large part of ``b`` holds makes pairs in
+    Element weights are smooth idf over ``b``, 1 for an element that ``b`` lacks. An element that a large part of ``b`` holds makes pairs in
     proportion to its holders in ``a`` times those in ``b``: pass a bounded query set as ``a``.
     """
     n = b.agg(F.count_distinct("id").alias("n"))
     idf = b.groupBy("element").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("element", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("i"))  # one row
 
     def side(df: DataFrame, s: str) -> DataFrame:
-        return df.join(idf, "element", "left").groupBy("id").agg(F.count(F.lit(1)).alias(f"n{s}"), F.sum("tf").alias(f"m{s}"), F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("i", F.lit(0.0)), 2))).alias(f"z{s}"))
+        return df.join(idf, "element", "left").groupBy("id").agg(F.count(F.lit(1)).alias(f"n{s}"), F.sum("tf").alias(f"m{s}"), F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("i", F.lit(1.0)), 2))).alias(f"z{s}"))
 
     x = a.select(F.col("id").alias("query_id"), "element", F.col("tf").alias("ta"))
     y = b.select(F.col("id").alias("doc_id"), "element", F.col("tf").alias("tb"))
@@ -33,7 +33,7 @@ def multiset_similarity(a: DataFrame, b: DataFrame, least_shared: int = 1) -> Da
     return p.select("query_id", "doc_id", "shared", r(F.col("shared") / F.col("na"), "recall"), r(F.col("low") / (F.col("ma") + F.col("mb") - F.col("low")), "soft_jaccard"), r(F.col("low") / F.sqrt(F.col("ma") * F.col("mb")), "freq_coupling"), r(F.col("dot") / (F.col("za") * F.col("zb")), "freq_idf_cosine"))
 
 
-def position_weighted(a: DataFrame, b: DataFrame, decay: float = 0.5) -> DataFrame:
+def position_weighted(a: DataFrame, b: DataFrame, decay: float = 0.7) -> DataFrame:
     """Run of ordered sets (id, element, pos from 0): an element weighs (1 + pos)^-decay; geometric means of shared weights over both norms."""
     w = F.pow(1.0 + F.col("pos"), F.lit(-decay))
     norm = lambda df, key: df.groupBy(F.col("id").alias(key)).agg(F.sqrt(F.sum(w * w)).alias(f"norm_{key}"))
@@ -59,3 +59,33 @@ def label_edges(labels: DataFrame, min_shared: int = 1) -> DataFrame:
     p = c.withColumnRenamed("case_id", "source_case_id").join(b, "label").filter("source_case_id < target_case_id")
     g = p.groupBy("source_case_id", "target_case_id").agg(F.count(F.lit(1)).alias("shared_count"), F.array_join(F.array_sort(F.collect_list("label")), "|").alias("shared_labels"))  # bounded by one case's labels
     return g.filter(F.col("shared_count") >= min_shared)
+
+
+def co_cite_cosine(pairs: DataFrame) -> DataFrame:
+    """Run (query_id, doc_id, score) of counted pairs (id, a, b, n): cosine of the vectors of co-cited pairs; documents with a common pair only."""
+    norm = lambda key: pairs.groupBy(F.col("id").alias(key)).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias(f"z_{key}"))
+    x, y = pairs.select(F.col("id").alias("query_id"), "a", "b", F.col("n").alias("nx")), pairs.select(F.col("id").alias("doc_id"), "a", "b", F.col("n").alias("ny"))
+    dot = x.join(y, ["a", "b"]).filter("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("nx") * F.col("ny")).alias("dot"))
+    both = dot.join(norm("query_id"), "query_id").join(norm("doc_id"), "doc_id")
+    return both.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("z_query_id") * F.col("z_doc_id")), 6).alias("score"))
+
+
+def typed_triplets(triplets: DataFrame, entities: DataFrame) -> DataFrame:
+    """(case_id, type1, entity1, relation, type2, entity2), distinct, of ``triplets(case_id, entity1, relation, entity2)`` and ``entities(case_id, name, type)``.
+
+    Where one side is an entity, the other side's type is that of each of its words that is one, or None; the first side
+    goes first. Triplets without an entity keep both types None.
+    """
+    t = triplets.withColumns({"entity1": F.trim("entity1"), "entity2": F.trim("entity2")})
+    known = lambda n, kind: entities.select("case_id", F.col("name").alias(n), F.col("type").alias(kind)).dropDuplicates(["case_id", n])
+    t = t.join(known("entity1", "k1"), ["case_id", "entity1"], "left").join(known("entity2", "k2"), ["case_id", "entity2"], "left")
+    first = F.col("k1").isNotNull()
+    words = t.withColumn("word", F.explode(F.split(F.when(first, F.col("entity2")).otherwise(F.col("entity1")), " "))).filter(first | F.col("k2").isNotNull())
+    words = words.join(known("word", "kw"), ["case_id", "word"], "left")
+    keys = ["case_id", "entity1", "relation", "entity2", "k1", "k2"]
+    hits = words.groupBy(*keys).agg(F.collect_set("kw").alias("kinds"))  # bounded by one entity's words
+    hits = hits.select(*keys, F.explode(F.when(F.size("kinds") > 0, F.col("kinds")).otherwise(F.array(F.lit("None")))).alias("kw"))
+    none = t.filter("k1 IS NULL AND k2 IS NULL").select(*keys, F.lit("None").alias("kw"))
+    one = F.when(first, F.col("k1")).otherwise(F.col("kw"))
+    two = F.when(first, F.col("kw")).otherwise(F.coalesce("k2", F.lit("None")))
+    return hits.unionByName(none).select("case_id", one.alias("type1"), "entity1", "relation", two.alias("type2"), "entity2").distinct()

@@ -23,19 +23,19 @@ def query(name: str, sql: str):
     return keep
 
 
-# Evaluation conventions: runs of every 20th vector with its own document, gold for every 50th.
+# Evaluation conventions: runs of every 20th vector with its own document, gold for each of them.
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, d, "embeddings")
     vec = v.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
     run = rank.top(score.dense_top(vec.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "v"), vec), 20)
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
     return run, v.select(F.col("vec_id").alias("doc_id"), "label").join(q, "label").filter("query_id <> doc_id").select("query_id", "doc_id")
 
 
 _EV = _DENSE.split("run AS (")[0] + f"""run AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_dot_product(q.v, d.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v)) + 1e-10), 6) AS score FROM v q, v d WHERE q.vec_id % 20 = 0),
 top AS ({_TOP.format(k=20)}),
 x AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM top WHERE query_id <> doc_id),
-rel AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id FROM v q JOIN v d USING (label) WHERE q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
+rel AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id FROM v q JOIN v d USING (label) WHERE q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
 nr AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
 h AS (SELECT x.*, (rel.doc_id IS NOT NULL)::INT AS hit FROM x LEFT JOIN rel USING (query_id, doc_id)),
 hs AS (SELECT top.*, (rel.doc_id IS NOT NULL)::INT AS hit FROM top LEFT JOIN rel USING (query_id, doc_id))"""
@@ -162,7 +162,7 @@ _MS = """WITH c AS (SELECT l_suppkey AS id, l_partkey AS e, count(*) AS tf FROM
 z AS (SELECT id, count(*) AS n, sum(tf) AS m, sqrt(sum(pow(tf * i, 2))) AS z FROM c JOIN i USING (e) GROUP BY 1), p AS (SELECT x.id AS query_id, y.id AS doc_id, count(*) AS shared, sum(least(x.tf, y.tf)) AS low, sum(x.tf * y.tf * i * i) AS dot FROM c x JOIN c y USING (e) JOIN i USING (e) WHERE x.id % 5 = 0 AND x.id <> y.id GROUP BY 1, 2)
 SELECT query_id, doc_id, shared, round(shared / a.n, 6) AS recall, round(low / (a.m + b.m - low), 6) AS soft_jaccard, round(low / sqrt(a.m * b.m), 6) AS freq_coupling, round(dot / (a.z * b.z), 6) AS freq_idf_cosine FROM p JOIN z a ON a.id = query_id JOIN z b ON b.id = doc_id"""
 query("multiset_similarity", _MS)(lambda spark, d: (lambda c: sets.multiset_similarity(c.filter("id % 5 = 0"), c))(sets.counted(table(spark, d, "lineitem"), "l_suppkey", "l_partkey")))
-query("position_weighted", """WITH c AS (SELECT l_orderkey AS id, l_partkey AS e, min(l_linenumber) - 1 AS pos FROM lineitem GROUP BY 1, 2), w AS (SELECT *, pow(1 + pos, -0.5) AS w FROM c), n AS (SELECT id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1)
+query("position_weighted", """WITH c AS (SELECT l_orderkey AS id, l_partkey AS e, min(l_linenumber) - 1 AS pos FROM lineitem GROUP BY 1, 2), w AS (SELECT *, pow(1 + pos, -0.7) AS w FROM c), n AS (SELECT id, sqrt(sum(w * w)) AS n FROM w GROUP BY 1)
 SELECT x.id AS query_id, y.id AS doc_id, round(sum(sqrt(x.w * y.w)) / (any_value(a.n) * any_value(b.n)), 6) AS score FROM w x JOIN w y USING (e) JOIN n a ON a.id = x.id JOIN n b ON b.id = y.id WHERE x.id % 20 = 0 AND x.id <> y.id GROUP BY 1, 2""")(
     lambda spark, d: (lambda c: sets.position_weighted(c.filter("id % 20 = 0"), c))(table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("element")).agg((F.min("l_linenumber") - 1).alias("pos"))))
 query("graph_label_edges", f"""WITH c AS (SELECT DISTINCT c_custkey AS case_id, trim(c_mktsegment) AS label FROM customer UNION SELECT c_custkey, 'n' || c_nationkey FROM customer)
