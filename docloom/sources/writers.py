@@ -12,15 +12,24 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "model") -> DataFrame:
 
 
 def save_results(new: DataFrame, path: str, key: str = "model") -> None:
-    """Upsert a small JSON table of results: the merged rows go to a sibling folder that then replaces ``path``."""
+    """Upsert a small JSON table of results.
+
+    The merged rows go to a sibling folder; the old table steps aside before that one takes its name and goes last, so a
+    stop at any point leaves one whole table, which the next call finds.
+    """
     spark = new.sparkSession
-    here = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at = lambda ending: spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ending)
+    here, fresh, old = at(""), at(".new"), at(".old")
     fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
-    beside = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".new")
+    if not fs.exists(here) and fs.exists(old):
+        fs.rename(old, here)
     merged = upserted(spark.read.json(path), new, key) if fs.exists(here) else new
-    merged.write.mode("overwrite").json(beside.toString())
-    fs.delete(here, True)
-    fs.rename(beside, here)
+    merged.write.mode("overwrite").json(fresh.toString())
+    fs.delete(old, True)
+    if fs.exists(here):
+        fs.rename(here, old)
+    fs.rename(fresh, here)
+    fs.delete(old, True)
 
 
 def missing_labels(plan: DataFrame, done: DataFrame, key: str = "label") -> DataFrame:
