@@ -113,3 +113,46 @@ def role_text(text: Column, boosts: dict[str, int]) -> Column:
     """The lines of the given roles, each repeated as often as its boost says."""
     times = F.create_map(*(F.lit(x) for kv in boosts.items() for x in kv))
     return F.array_join(F.flatten(F.transform(F.filter(roles(text), lambda r: r["role"].isin(*boosts)), lambda r: F.array_repeat(r["line"], F.element_at(times, r["role"])))), " ")
+
+
+def nested_ngrams(tokens: Column, inner: int, outer: int) -> Column:
+    """N-grams up to ``outer`` of a stream that holds the n-grams up to ``inner`` already (an option; one expansion is the default elsewhere)."""
+    return cumulative_ngrams(cumulative_ngrams(tokens, inner), outer)
+
+
+def glued_lines(text: Column) -> Column:
+    """Line breaks taken out without a blank: words at line ends are fused (an option for queries)."""
+    return F.regexp_replace(_bare(text), r"\r?\n", "")
+
+
+def without_special_characters(text: Column, single: tuple[str, ...] = ("a", "i", "A", "I")) -> Column:
+    """Only letters, angle brackets, full stops and blanks; words of one character go, but for ``single``."""
+    words = F.split(F.regexp_replace(_bare(text), r"[^a-zA-Z<>.\s]", " "), r"\s+")
+    return F.array_join(F.filter(words, lambda w: (F.length(w) > 1) | w.isin(*single)), " ")
+
+
+def han_characters(text: Column) -> Column:
+    """Characters of the CJK ranges, one token each."""
+    return F.regexp_extract_all(_bare(text), F.lit("[一-鿿㐀-䶿]"), F.lit(0))
+
+
+def long_sentences(text: Column, least: int = 10) -> Column:
+    """Text cut at ``". "``; pieces of more than ``least`` characters, trimmed."""
+    return F.filter(F.transform(F.split(_bare(text), r"\. "), lambda s: F.trim(s)), lambda s: F.length(s) > least)
+
+
+def sentence_number(text: Column) -> Column:
+    """Sentences counted by their closing marks."""
+    return F.size(F.regexp_extract_all(_bare(text), F.lit("[.!?]+"), F.lit(0)))
+
+
+def char_ngrams(text: Column, n: int) -> Column:
+    """All runs of n characters."""
+    t = _bare(text)
+    return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def skipgrams(tokens: Column, skip: int) -> Column:
+    """Ordered pairs of tokens with at most ``skip`` others between them, joined by a blank."""
+    pair = lambda t: lambda x, i: F.transform(F.slice(t, i + 2, F.lit(skip + 1)), lambda y: F.concat_ws(" ", x, y))
+    return let(tokens, lambda t: F.flatten(F.transform(t, pair(t))))

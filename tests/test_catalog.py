@@ -5,10 +5,10 @@ import pytest
 
 from docloom.functions import extract
 from docloom.operators.index import postings
-from docloom.plans import catalog, experiments, legal, ranking
+from docloom.plans import catalog, experiments, legal, ranking, texts
 from docloom.plans.catalog import FLAGSHIP
 
-QUERIES, ORACLES = catalog.QUERIES | experiments.QUERIES | legal.QUERIES | ranking.QUERIES, catalog.ORACLES | experiments.ORACLES | legal.ORACLES | ranking.ORACLES
+QUERIES, ORACLES = catalog.QUERIES | experiments.QUERIES | legal.QUERIES | ranking.QUERIES | texts.QUERIES, catalog.ORACLES | experiments.ORACLES | legal.ORACLES | ranking.ORACLES | texts.ORACLES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
