@@ -1,7 +1,7 @@
 """Extractors as records: every match with its place in the text (code points, end exclusive) and its values.
 
 ``records(kind, text)`` is an array of structs in order of appearance; everything is a column expression. Patterns
-are ASCII and free of look-around. Amounts are numerals; numbers in words aren't read.
+are free of look-around. The amounts of other kinds are numerals; numbers in words are a kind of their own.
 """
 
 from __future__ import annotations
@@ -46,6 +46,11 @@ CONSTRAINT_PHRASES = (
 UNIT_DAYS = {"second": 1 / 86400, "minute": 1 / 1440, "hour": 1 / 24, "day": 1, "week": 7, "month": 30, "quarter": 90, "year": 365}
 FACTORS = {"": 1, "thousand": 1000, "million": 10**6, "billion": 10**9, "trillion": 10**12}
 CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "dollar": "USD", "dollars": "USD", "euro": "EUR", "euros": "EUR", "pound": "GBP", "pounds": "GBP"}
+#: Numbers in words, and the words that multiply what stands before them.
+NUMBER_WORDS = dict(zip("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), range(20))) | dict(
+    zip("twenty thirty forty fifty sixty seventy eighty ninety".split(), range(20, 100, 10))
+)
+SCALE_WORDS = {"hundred": 100, "thousand": 1000, "million": 10**6, "billion": 10**9, "trillion": 10**12}
 
 
 def phrase_pattern(phrases: tuple[str, ...]) -> str:
@@ -55,6 +60,9 @@ def phrase_pattern(phrases: tuple[str, ...]) -> str:
 
 
 PATTERNS["condition"], PATTERNS["constraint"] = phrase_pattern(CONDITION_PHRASES), phrase_pattern(CONSTRAINT_PHRASES)
+_ANY_NUMBER_WORD = "(?:" + "|".join(sorted(NUMBER_WORDS | SCALE_WORDS, key=lambda w: (-len(w), w))) + ")"
+PATTERNS["number_words"] = rf"(?i)\b{_ANY_NUMBER_WORD}(?:(?: +and)?[ -]+{_ANY_NUMBER_WORD})*\b"
+PATTERNS["definition"] = "[\"“]([^\"“”\n]{1,80})[\"”][ \t\n]+(shall mean|means|is defined as|refers to|has the meaning)"
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -90,6 +98,18 @@ def cusip_checksum(code: Column) -> Column:
     return (10 - total % 10) % 10
 
 
+def number_value(words: Column) -> Column:
+    """What a number in words is worth: a hundred multiplies what stands before it, larger scales close a part of the sum."""
+    def step(s: Column, w: Column) -> Column:
+        scale, before = _lookup(w, SCALE_WORDS), F.greatest(s["open"], F.lit(1.0))
+        closed = F.struct((s["done"] + before * scale).alias("done"), F.lit(0.0).alias("open"))
+        hundreds = F.struct(s["done"].alias("done"), (before * 100).alias("open"))
+        added = F.struct(s["done"].alias("done"), (s["open"] + F.coalesce(_lookup(w, NUMBER_WORDS), F.lit(0))).alias("open"))
+        return F.when(scale >= 1000, closed).when(scale == 100, hundreds).otherwise(added)
+
+    return F.aggregate(F.split(F.lower(words), "[ -]+"), F.struct(F.lit(0.0).alias("done"), F.lit(0.0).alias("open")), step, lambda s: s["done"] + s["open"])
+
+
 def _fields(kind: str, x: Column) -> dict[str, Column]:
     """The values of a match."""
     g = lambda n: _group(kind, n)(x)
@@ -125,6 +145,10 @@ def _fields(kind: str, x: Column) -> dict[str, Column]:
         return {"volume": g(1).cast("int"), "reporter": F.replace(g(2), F.lit(" "), F.lit("")), "page": g(3).cast("int"), "page2": F.try_to_number(blank(g(4)), F.lit("999999")).cast("int"), "court": blank(F.trim(g(5))), "year": F.try_to_number(blank(g(6)), F.lit("9999")).cast("int")}
     if kind == "public_law":
         return {"congress": g(1).cast("int"), "number": g(2).cast("int")}
+    if kind == "number_words":
+        return {"value": number_value(x)}
+    if kind == "definition":
+        return {"term": F.trim(g(1)), "verb": g(2)}
     if kind == "section_mention":
         return {"section": g(1)}
     if kind in ("condition", "constraint"):

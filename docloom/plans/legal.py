@@ -31,6 +31,8 @@ TEXTS = (
     "In 1998 scc 12 the court read section 5a and order xxi with the Indian Penal Code and the constitution of india; 2001 AIR SC 44.",
     "Intro <CITATION_1> <CITATION_2>\n1. First <CITATION_2> <CITATION_1> <CITATION_3> <CITATION_2>\n2. Second <CITATION_3> <CITATION_1>\n3. None",
     "Head of the case PETITIONER: A. B. RESPONDENT: The State. ACT: Evidence Act, section 3. HEADNOTE: The appeal fails. JUDGMENT: We dismiss it.",
+    "The lessee pays twenty-five thousand three hundred and six dollars, Two Million units or one hundred; none and someone, hundred twelve.",
+    "\"Lessee\" means the person named, “ Term ” shall mean two years and \"Act\" has the meaning given; \"quoted\" says nothing.",
     "",
 )
 
@@ -70,7 +72,12 @@ def _case(key: str, values: dict) -> str:
 
 _num = lambda x: f"CAST(nullif(replace({x}, ',', ''), '') AS DOUBLE)"
 _CUSIP_SUM = "list_sum(list_transform(range(1, 9), lambda k: ((instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ*@#', text[k]) - 1) * (CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END)) // 10 + ((instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ*@#', text[k]) - 1) * (CASE WHEN k % 2 = 0 THEN 2 ELSE 1 END)) % 10))"
+_WORTH = f"""list_reduce(list_prepend({{'t': 0::DOUBLE, 'c': 0::DOUBLE, 'm': 0::DOUBLE}}, list_transform(regexp_split_to_array(lower(text), '[ -]+'),
+    lambda w: {{'t': 0::DOUBLE, 'c': coalesce({_case('w', records.NUMBER_WORDS)}, 0)::DOUBLE, 'm': coalesce({_case('w', records.SCALE_WORDS)}, 0)::DOUBLE}})),
+  lambda a, w: {{'t': CASE WHEN w.m >= 1000 THEN a.t + greatest(a.c, 1) * w.m ELSE a.t END, 'c': CASE WHEN w.m >= 1000 THEN 0 WHEN w.m = 100 THEN greatest(a.c, 1) * 100 ELSE a.c + w.c END, 'm': 0::DOUBLE}})"""
 _SQL = {
+    "number_words": (f", {_WORTH}.t + {_WORTH}.c AS value", "true"),
+    "definition": (f", trim({_g(1)}) AS term, {_g(2)} AS verb", "true"),
     "ssn": (f", {_g(1)} || '-' || {_g(2)} || '-' || {_g(3)} AS value", "NOT regexp_matches(value, '^000|-00-|0000$')"),
     "phone": (f", {_g(1)} AS area, {_g(2)} AS exchange, {_g(3)} AS last4", "true"),
     "cusip": (f", {_g(1)} AS issuer, {_g(2)} AS issue, {_g(3)}::INT AS checksum, (10 - {_CUSIP_SUM} % 10) % 10 = {_g(3)}::INT AS valid, regexp_matches({_g(1)}, '^(?:[0-9]{{3}}99[0-9A-Z]|99[0-9]{{3}}[0-9A-Z])$') AS internal, regexp_matches(text, '[@#*]') AS private", "true"),

@@ -5,10 +5,10 @@ import pytest
 
 from docloom.functions import extract
 from docloom.operators.index import postings
-from docloom.plans import catalog, experiments, legal, ranking, texts
+from docloom.plans import catalog, experiments, legal, ranking, reports, texts
 from docloom.plans.catalog import FLAGSHIP
 
-QUERIES, ORACLES = catalog.QUERIES | experiments.QUERIES | legal.QUERIES | ranking.QUERIES | texts.QUERIES, catalog.ORACLES | experiments.ORACLES | legal.ORACLES | ranking.ORACLES | texts.ORACLES
+QUERIES, ORACLES = catalog.QUERIES | experiments.QUERIES | legal.QUERIES | ranking.QUERIES | reports.QUERIES | texts.QUERIES, catalog.ORACLES | experiments.ORACLES | legal.ORACLES | ranking.ORACLES | reports.ORACLES | texts.ORACLES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -18,7 +18,7 @@ def rows(data, names):
     return sorted(tuple(round(float(r[k]), 5) if isinstance(r[k], float) or type(r[k]).__name__ == "Decimal" else r[k] for k in order) for r in data)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, name):
     c = duckdb.connect()
     for t in TABLES:
