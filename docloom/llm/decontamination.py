@@ -18,7 +18,7 @@ empty texts hold nothing. Repeated rows are reported each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import ascii_lower, columns, cut, pinned, shingle_hashes, words_of
@@ -43,11 +43,26 @@ def sketches(items: DataFrame, threshold: float, id_col: str, text: str) -> Data
     return s.select("item", "item_id", "k", "shingles", "n", F.slice(hashes, 1, F.least(length, F.size(hashes))).alias("sketch"))
 
 
+#: The bits that mark documents with candidates: at most 2^19 words of 64 bits are broadcast, at any size of the corpus.
+FILTER_BITS = 1 << 25
+
+
+def _marked(rows: DataFrame, key: Column, found: DataFrame) -> DataFrame:
+    """Adds ``__d_maybe``: the row's key has the bit of a document of ``found``. Others can't have candidates, so their texts
+    needn't move. A full filter costs time and loses nothing: rows that it lets through still meet the exact join."""
+    word = lambda k: F.shiftright(k.bitwiseAND(F.lit(FILTER_BITS - 1)), 6)
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    own = F.xxhash64("doc_id", "text_hash")
+    words = found.select(word(own).alias("__d_w"), bit(own).alias("__d_b")).groupBy("__d_w").agg(F.bit_or("__d_b").alias("__d_bits"))
+    return rows.withColumns({"__d_word": word(key), "__d_bit": bit(key)}).join(F.broadcast(words), F.col("__d_word") == F.col("__d_w"), "left").withColumn("__d_maybe", F.coalesce(F.col("__d_bits").bitwiseAND(F.col("__d_bit")) != 0, F.lit(False)))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, text_hash, item_id, n_item_shingles, n_shared, containment) per leaking pair of rows."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("body"))
     found, sizes = _candidates(own, items, threshold, item_id, item_text)
-    both = own.join(found.toDF("__d_id", "__d_hash", "__d_met"), F.col("doc_id").eqNullSafe(F.col("__d_id")) & (F.col("text_hash") == F.col("__d_hash")))
+    near = _marked(own, F.xxhash64("doc_id", "text_hash"), found).filter("__d_maybe")
+    both = near.join(found.toDF("__d_id", "__d_hash", "__d_met"), F.col("doc_id").eqNullSafe(F.col("__d_id")) & (F.col("text_hash") == F.col("__d_hash")))
     leaks = _leaks(both, "body", sizes, threshold).select("doc_id", "text_hash", F.inline("__d_leaks"))
     return leaks.withColumn("containment", F.col("n_shared") / F.col("n_item_shingles"))
 
@@ -74,11 +89,13 @@ def _leaks(both: DataFrame, text: str, sizes: list[int], threshold: float) -> Da
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that leak no item, all columns kept. Texts meet their candidates in one join and are judged there."""
+    """The documents that leak no item, all columns kept. Texts that may have candidates meet them in one join and are judged there; the others stay where they are."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("body"))
     found, sizes = _candidates(own, items, threshold, "item_id", "text")
-    both = docs.join(found.toDF("__d_id", "__d_hash", "__d_met"), F.col(id_col).eqNullSafe(F.col("__d_id")) & (F.xxhash64(F.col(text)) == F.col("__d_hash")), "left")
-    return _leaks(both, text, sizes, threshold).filter("coalesce(size(__d_leaks), 0) <= 0").select(*columns(docs))
+    marked = _marked(docs, F.xxhash64(F.col(id_col), F.xxhash64(F.col(text))), found)
+    both = marked.filter("__d_maybe").join(found.toDF("__d_id", "__d_hash", "__d_met"), F.col(id_col).eqNullSafe(F.col("__d_id")) & (F.xxhash64(F.col(text)) == F.col("__d_hash")), "left")
+    judged = _leaks(both, text, sizes, threshold).filter("coalesce(size(__d_leaks), 0) <= 0").select(*columns(docs))
+    return marked.filter("NOT __d_maybe").select(*columns(docs)).union(judged)
 
 
 def decontamination_query(docs: DataFrame, items: DataFrame) -> DataFrame:
