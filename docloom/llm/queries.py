@@ -1,10 +1,10 @@
-"""Registered queries of the ten operators, with production parameters, over their whole tables."""
+"""Registered queries of the operators, with production parameters, over their whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm import decontamination, lines, lm_scoring, packing, quality, secret_scan, sharding, simhash, token_counts, token_output
+from docloom.llm import automaton, decontamination, filter_audit, lexical_search, lines, lm_scoring, packing, quality, secret_scan, sharding, simhash, token_counts, token_output
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -32,5 +32,8 @@ QUERIES = {
     "op8_token_counts": _on_documents(lambda d: token_counts.token_counts(d, tokenizer_path())),
     "op9_token_output": _on_documents(lambda d: token_output.packed_ids(d, tokenizer_path())),
     "op10_line_dedup": _on_documents(lines.lines_query),
+    "op11_bpe_automaton": _on_documents(lambda d: automaton.automaton_query(d, tokenizer_path())),
+    "op12_filter_audit": lambda spark, sf_dir: filter_audit.audit_query(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")),
+    "op13_lexical_search": lambda spark, sf_dir: lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")),
 }
-ORACLES = {"op1_quality_rules": quality.SQL, "op5_decontamination": decontamination.SQL, "op10_line_dedup": lines.SQL}
+ORACLES = {"op1_quality_rules": quality.SQL, "op5_decontamination": decontamination.SQL, "op10_line_dedup": lines.SQL, "op12_filter_audit": filter_audit.SQL, "op13_lexical_search": lexical_search.SQL}
