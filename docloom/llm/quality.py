@@ -5,7 +5,8 @@ measurements they came from. Policies are versioned masks over those bits, so a
 ablation never reads a text again: ``apply_policy`` is one bitwise AND, ``ablations`` one aggregation.
 
 Defined results: a null or empty text has no words, all measurements are 0 and ``few_words`` fails.
-Repeated rows are judged alike, each by itself. Extra columns are kept; the working columns carry the
+Repeated rows are judged alike, each by itself. Extra columns are kept, and one that is named like a
+measurement is an error without a prefix; the working columns carry the
 prefix ``__q_`` and are dropped. A text's 5-word windows are compared by a 64-bit hash of five 64-bit
 word hashes, within that text only. Everything happens inside the scan's stage: no shuffle, no Python.
 """
@@ -36,7 +37,9 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_r
 
 
 def ledger(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with the measurements (long) and ``fail_bits`` (long), each named with ``prefix``."""
+    """``docs`` with the measurements (long) and ``fail_bits`` (long), each named with ``prefix``; raises if ``docs`` has such a column."""
+    if clash := {f"{prefix}{m}".lower() for m in (*MEASURES, "fail_bits")} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {sorted(clash)} exist: name a prefix")
     w, h, s, p, t = (f"`__q_{x}`" for x in "whspt")
     df = docs.withColumn("__q_t", F.coalesce(F.col(text), F.lit("")))
     df = df.withColumns({"__q_w": words_of(F.col("__q_t")), "__q_l": F.filter(F.split("__q_t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))})

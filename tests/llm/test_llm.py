@@ -367,6 +367,29 @@ def test_decontamination(docs, empty, spark):
     assert decontamination.contaminated(empty, items).count() == 0 and decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_items_that_share_a_phrase(spark):
+    """A phrase of thousands of items makes no candidates; a document that holds many items has them in rows of bounded size."""
+    template = "which of the following statements is true about"
+    items = spark.range(3000).select(F.col("id").alias("item_id"), F.concat(F.lit(template + " "), F.concat_ws(" ", *(F.concat(F.lit(c), F.col("id")) for c in "abcdefghijkl"))).alias("text"))
+    texts = [(1, f"here {template} nothing at all of the kind"), (2, "x " + items.filter("item_id = 77").first().text), (3, "\n".join(r.text for r in items.filter("item_id < 200").collect()))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    own = df.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").alias("body"))
+    found = {}
+    for r in decontamination._candidates(own, items, 0.8, "item_id", "text")[0].collect():
+        found.setdefault(r.doc_id, []).append(len(r.met))
+    assert sum(found.get(1, [])) == 0 and sum(found[2]) == 1 and sum(found[3]) == 200 and max(found[3]) <= decontamination.ROW_ITEMS
+    leaks = {(r.doc_id, r.item_id) for r in decontamination.contaminated(df, items).collect()}
+    assert leaks == {(2, 77), *((3, i) for i in range(200))}
+    assert [r.doc_id for r in decontamination.drop_contaminated(df, items).collect()] == [1]
+
+
+def test_ledger_keeps_a_column_of_the_same_name(docs):
+    clash = docs.withColumn("n_words", F.lit("mine"))
+    with pytest.raises(ValueError):
+        quality.ledger(clash)
+    assert {r.n_words for r in quality.ledger(clash, prefix="q_").collect()} == {"mine"} == {r.n_words for r in quality.keep_good(clash).collect()}
+
+
 def brute_secrets(t):
     t = t or ""
     found = [(m.start(), 0, "assign", m.end()) for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]
