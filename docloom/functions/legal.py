@@ -41,6 +41,8 @@ SECTION_OF = r"(?i)(?:section|sec\.?|s\.)\s*([0-9]+[A-Za-z]?(?:\s*\([0-9]+\))?)(
 ARTICLE_OF = r"(?i)(?:article|art\.?)\s*([0-9]+[A-Za-z]?)(?:\s+(?:of\s+the\s+|of\s+))?([A-Z][A-Za-z\s.,]{3,50})"
 ORDER_RULE = r"(?i)order\s*((?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3}))\s+(?:rule|r\.?)\s*([0-9]+)"
 SECTION_SHORT = r"(?i)(?:section|sec\.?|s\.)\s*([0-9]+[A-Za-z]?)\s+(?:of\s+(?:the\s+)?)?(IPC|CrPC|CPC|ITA)"
+#: What repeats in it, and the same without two ways to take a run of blanks.
+_REPEAT, _REPEAT_ONCE = r"(?:\s*(?:and|or|,|\s+)\s*(?:section|sec\.?)?\s*[0-9]+[A-Za-z]?)*", r"(?:(?:\s*(?:and|or|,)\s*|\s+)(?:section|sec\.?)?\s*[0-9]+[A-Za-z]?)*"
 #: Fixed patterns: concepts in lower-case text.
 CONCEPTS = (
     r"\b[0-9]{4}\s+(?:scc|air|scr|ilr|scale|jt)\s+(?:sc|hc)?\s*[0-9]+\b",
@@ -54,8 +56,13 @@ PARAGRAPH = r"\n[0-9]+\.\s+"
 SECTION_HEAD = r"(?i)\b(PETITIONER|RESPONDENT|DATE OF JUDGMENT|BENCH|CITATION|CITATOR INFO|ACT|HEADNOTE|JUDGMENT)\s*:"
 
 
+def linear(pattern: str) -> str:
+    """The same matches, but a run of blanks is never given back: what follows one in these patterns can't begin with a blank."""
+    return pattern.replace(_REPEAT, _REPEAT_ONCE).replace(r"\s+", r"\s++").replace(r"\s*", r"\s*+")
+
+
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(linear(pattern)), F.lit(group))
 
 
 def reporter_citations(text: Column) -> Column:
@@ -104,7 +111,7 @@ def sections(text: Column) -> Column:
     heads = F.transform(_all(body, SECTION_HEAD, 1), F.upper)
 
     def keyed(parts: Column) -> Column:
-        named = let(heads, lambda h: F.transform(F.sequence(F.lit(0), F.size(h)), lambda i: F.struct(F.when(i == 0, "PREAMBLE").otherwise(F.get(h, i - 1)).alias("k"), F.when(i == 0, F.get(parts, i)).otherwise(F.trim(F.regexp_replace(F.get(parts, i), r"^\s+|\s+$", ""))).alias("v"))))
+        named = let(heads, lambda h: F.transform(F.sequence(F.lit(0), F.size(h)), lambda i: F.struct(F.when(i == 0, "PREAMBLE").otherwise(F.get(h, i - 1)).alias("k"), F.when(i == 0, F.get(parts, i)).otherwise(F.btrim(F.get(parts, i), F.lit(" \t\n\x0b\x0c\r"))).alias("v"))))
         return let(named, lambda n: F.map_from_entries(F.filter(n, lambda x, i: ~F.exists(F.slice(n, i + 2, F.size(n)), lambda later: later["k"] == x["k"]))))
 
     return let(F.split(body, SECTION_HEAD, -1), keyed)

@@ -68,11 +68,24 @@ PATTERNS["definition"] = "[\"“]([^\"“”\n]{1,80})[\"”][ \t\n]+(shall mean
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, text, before>> of all leftmost matches; ``before`` is what lies between the last match and this one."""
     # what a split leaves and what it takes away alternate, so lengths give places
-    size = lambda a: F.aggregate(F.transform(a, F.length), F.lit(0), lambda s, x: s + x)
-    start = lambda m, p, i: size(F.slice(p, 1, i + 1)) + size(F.slice(m, 1, i))
-    one = lambda m, p: lambda x, i: let(start(m, p, i), lambda s: F.struct(s.alias("start"), (s + F.length(x)).alias("end"), x.alias("text"), F.get(p, i).alias("before")))
     body = F.coalesce(text, F.lit(""))
-    return let(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda m: let(F.split(body, pattern, -1), lambda p: F.transform(m, one(m, p))))
+    one = lambda m, p, sums: lambda x, i: let(sums(i) + F.length(F.get(p, i)), lambda s: F.struct(s.alias("start"), (s + F.length(x)).alias("end"), x.alias("text"), F.get(p, i).alias("before")))
+    lengths = lambda m, p: F.transform(m, lambda x, i: F.length(x) + F.length(F.get(p, i)))
+    return let(F.regexp_extract_all(body, F.lit(pattern), F.lit(0)), lambda m: let(F.split(body, pattern, -1), lambda p: sums_before(lengths(m, p), lambda sums: F.transform(m, one(m, p, sums)))))
+
+
+#: Values that one step of ``sums_before`` adds.
+_STEP = 64
+
+
+def sums_before(values: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body(f)`` where ``f(i)`` is the sum of the first i values: of whole blocks of blocks, of blocks and of single values, so each place costs few additions."""
+    add = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    blocks = lambda a: F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / _STEP).cast("int")), lambda b: add(F.slice(a, b * _STEP + 1, F.lit(_STEP))))
+    part = lambda a, i: add(F.slice(a, i - i % _STEP + 1, i % _STEP))
+    div = lambda i, n: F.floor(i / n).cast("int")
+    whole = lambda a, b, c: lambda i: part(a, i) + part(b, div(i, _STEP)) + add(F.slice(c, F.lit(1), div(i, _STEP * _STEP)))
+    return let(values, lambda a: let(blocks(a), lambda b: let(blocks(b), lambda c: body(whole(a, b, c)))))
 
 
 def _group(kind: str, n: int) -> Callable[[Column], Column]:

@@ -64,3 +64,26 @@ def test_text_functions(spark):
     r = df.select(T.alnum_tokens(F.col("t"), 3, ("the",)).alias("a"), T.without_citation_sentences(F.col("t")).alias("s"), minhash.shingles(F.col("t"), 4, kind="char").alias("c")).first()
     assert r.a == ["ab1", "2xy", "citation", "here", "fine"] and r.s == "Ab1 the cd-2xy. Fine!"
     assert len(r.c) > 10 and all(len(x) == 4 for x in r.c)
+
+
+def test_runs_of_blanks_and_many_matches(spark):
+    """A million blanks and a hundred thousand matches in one text take seconds, and places stay right."""
+    blanks = " " * 1_000_000
+    texts = [f"section 5{blanks}of nothing", f"1998 scc{blanks}x", f"art.{blanks}", f"s. 12{blanks}(", f"order xx{blanks}rule", f"PETITIONER: a{blanks}b RESPONDENT: c{blanks}"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(6)
+    assert len(df.select(legal.statutes(F.col("t")), legal.concepts(F.col("t")), F.size(legal.sections(F.col("t"))), *(F.size(legal._all(F.col("t"), p)) for p in legal.REPORTERS)).collect()) == 6
+    assert legal.linear(legal.SECTION_OF) != legal.SECTION_OF
+    many = spark.createDataFrame([("pay 12 km, " * 100_000,)], "t string").select(F.explode(records.records("distance", F.col("t"))).alias("r"))
+    assert many.agg(F.count("r"), F.max("r.start"), F.sum("r.start")).first()[:] == (100_000, 99_999 * 11 + 4, sum(11 * i + 4 for i in range(100_000)))
+
+
+def test_linear_patterns_match_alike():
+    import random
+    import re
+
+    rng = random.Random(7)
+    parts = ["section", "sec.", "s.", " ", "  ", "12", "4A", " and ", ",", "or", "of the ", "of ", "Income Tax Act", "(2)", "art.", "Article", "order", "XX", "rule", "IPC", "scc", "1998", "air", "sc"]
+    for p in (legal.SECTION_OF, legal.ARTICLE_OF, legal.ORDER_RULE, legal.SECTION_SHORT, *legal.CONCEPTS, *legal.REPORTERS):
+        for _ in range(400):
+            t = "".join(rng.choice(parts) for _ in range(12))
+            assert [m.span() for m in re.finditer(p, t)] == [m.span() for m in re.finditer(legal.linear(p), t)], (p, t)
