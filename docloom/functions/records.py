@@ -75,17 +75,17 @@ def spans(text: Column, pattern: str) -> Column:
 
 
 #: Values that one step of ``sums_before`` adds.
-_STEP = 64
+_STEP = 16
 
 
 def sums_before(values: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
-    """``body(f)`` where ``f(i)`` is the sum of the first i values: of whole blocks of blocks, of blocks and of single values, so each place costs few additions."""
+    """``body(f)`` where ``f(i)`` is the sum of the first i values: sums of 16, of 256 and of 4,096 values are kept, so a place costs few additions."""
     add = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     blocks = lambda a: F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / _STEP).cast("int")), lambda b: add(F.slice(a, b * _STEP + 1, F.lit(_STEP))))
     part = lambda a, i: add(F.slice(a, i - i % _STEP + 1, i % _STEP))
     div = lambda i, n: F.floor(i / n).cast("int")
-    whole = lambda a, b, c: lambda i: part(a, i) + part(b, div(i, _STEP)) + add(F.slice(c, F.lit(1), div(i, _STEP * _STEP)))
-    return let(values, lambda a: let(blocks(a), lambda b: let(blocks(b), lambda c: body(whole(a, b, c)))))
+    whole = lambda a, b, c, d: lambda i: part(a, i) + part(b, div(i, _STEP)) + part(c, div(i, _STEP**2)) + add(F.slice(d, F.lit(1), div(i, _STEP**3)))
+    return let(values, lambda a: let(blocks(a), lambda b: let(blocks(b), lambda c: let(blocks(c), lambda d: body(whole(a, b, c, d))))))
 
 
 def _group(kind: str, n: int) -> Callable[[Column], Column]:
