@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm import decontamination, lines, packing, quality, simhash
-from docloom.llm.common import cut
+from docloom.llm.common import cut, forget
 from docloom.llm.queries import tokenizer_path
 
 
@@ -46,8 +46,12 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        if before is not None:  # no later stage reads it
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
