@@ -7,11 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler, Word2Vec
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.reports import cooccurrence
+from docloom.sources.tables import forget, written
+
 
 def sparse_rows(weights: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, ids, ws) of unit length from ``weights`` (doc_id, term, w) and ``terms`` (term, id); a row is as long as the vocabulary at most."""
@@ -65,12 +68,62 @@ def latent_vectors(rows: DataFrame, basis: np.ndarray) -> DataFrame:
     return rows.mapInPandas(project, "doc_id long, v array<double>")
 
 
-def word_vectors(docs: DataFrame, tokens: Column, terms: DataFrame, size: int = 64, window: int = 5, seed: int = 42) -> DataFrame:
-    """(term, v) by skip-gram over all texts. Only words of ``terms`` (term), a bounded vocabulary, are learned, as the model lies on the driver; other words leave the texts first."""
-    words = docs.select(F.monotonically_increasing_id().alias("row"), F.posexplode(tokens).alias("pos", "term")).join(terms.select("term"), "term", "left_semi")
-    lines = words.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("words"))
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=1, maxIter=1, seed=seed, inputCol="words", outputCol="v").fit(lines)
-    return model.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("v"))
+#: Words that ``word_vectors`` learns at most: their vectors are sent to every task.
+MOST_WORDS = 200_000
+
+
+def word_vectors(docs: DataFrame, tokens: Column, terms: DataFrame, size: int = 64, window: int = 5, seed: int = 42, rounds: int = 4) -> DataFrame:
+    """(term, v) from how often words of ``terms`` (term), at most ``MOST_WORDS``, stand near each other (see ``factorise``)."""
+    return factorise(cooccurrence(docs, tokens, window), terms, size, seed, rounds)[0]
+
+
+def factorise(pairs: DataFrame, terms: DataFrame, size: int = 64, seed: int = 42, rounds: int = 4, most: float = 100.0, power: float = 0.75, ridge: float = 0.1) -> tuple[DataFrame, list[float]]:
+    """((term, v), losses per round): vectors whose products approach the logarithms of ``pairs`` (a, b, weight), weighted least squares.
+
+    A pair weighs min(1, weight / most) ^ power. Words and contexts have vectors and offsets; one side is solved exactly for
+    each word from the other side, in turns, so the loss falls with each step. A word's equations are summed in one group, of as
+    many rows as there are words at most. Known words without a pair have no vector. The result doesn't depend on partitions
+    but for the order of sums.
+    """
+    spark = pairs.sparkSession
+    ids = terms.select("term").filter("term IS NOT NULL").distinct().orderBy("term").limit(MOST_WORDS + 1).toPandas()["term"].tolist()
+    if len(ids) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words")
+    if not ids:
+        return spark.createDataFrame([], "term string, v array<double>"), []
+    numbers = spark.createDataFrame(pd.DataFrame({"term": ids, "n": range(len(ids))}), "term string, n int")
+    own = pairs.join(numbers.select(F.col("term").alias("a"), F.col("n").alias("i")), "a").join(numbers.select(F.col("term").alias("b"), F.col("n").alias("j")), "b").filter("weight > 0")
+    both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    near = written(own.select(F.inline(both), F.log("weight").alias("y"), F.pow(F.least(F.col("weight") / most, F.lit(1.0)), power).alias("f")).repartition("i"))
+    rng = np.random.default_rng(seed)
+    other = np.hstack([rng.normal(0, 1 / np.sqrt(size), (len(ids), size)), np.zeros((len(ids), 1))])  # a vector and an offset
+
+    def side(fixed: np.ndarray) -> tuple[np.ndarray, float]:
+        sent = spark.sparkContext.broadcast(fixed)
+
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            c = sent.value[pdf["j"].to_numpy()]
+            x, y, f = np.hstack([c[:, :-1], np.ones((len(c), 1))]), pdf["y"].to_numpy() - c[:, -1], pdf["f"].to_numpy()[:, None]
+            w = np.linalg.solve(x.T @ (f * x) + ridge * np.eye(x.shape[1]), x.T @ (f[:, 0] * y))
+            loss = float((f[:, 0] * (x @ w - y) ** 2).sum() + ridge * (w**2).sum())
+            return pd.DataFrame({"i": [pdf["i"].iloc[0]], "w": [w], "loss": [loss]})
+
+        out = near.groupBy("i").applyInPandas(solve, "i int, w array<double>, loss double").toPandas()
+        solved = np.zeros_like(fixed)
+        if len(out):
+            solved[out["i"].to_numpy()] = np.stack(out["w"])
+        sent.unpersist()
+        return solved, float(out["loss"].sum())
+
+    losses = []
+    for _ in range(rounds):
+        words, _ = side(other)
+        other, loss = side(words)
+        losses.append(loss + ridge * float((words**2).sum()))
+    seen = np.flatnonzero(np.abs(words).sum(axis=1))
+    forget(near)
+    v = (words + other)[:, :-1]
+    return spark.createDataFrame(pd.DataFrame({"term": [ids[i] for i in seen], "v": [v[i].tolist() for i in seen]}), "term string, v array<double>"), losses
 
 
 def forest_ranker(features: DataFrame, gold: DataFrame, columns: list[str], trees: int = 50, depth: int = 6, seed: int = 42):
