@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -81,8 +82,8 @@ def factorise(pairs: DataFrame, terms: DataFrame, size: int = 64, seed: int = 42
     """((term, v), losses per round): vectors whose products approach the logarithms of ``pairs`` (a, b, weight), weighted least squares.
 
     A pair weighs min(1, weight / most) ^ power. Words and contexts have vectors and offsets; one side is solved exactly for
-    each word from the other side, in turns, so the loss falls with each step. A word's equations are summed in one group, of as
-    many rows as there are words at most. Known words without a pair have no vector. The result doesn't depend on partitions
+    each word from the other side, in turns, so the loss falls with each step. A word's pairs are one row, of as many entries as
+    there are words at most. Known words without a pair have no vector. The result doesn't depend on partitions
     but for the order of sums.
     """
     spark = pairs.sparkSession
@@ -94,21 +95,29 @@ def factorise(pairs: DataFrame, terms: DataFrame, size: int = 64, seed: int = 42
     numbers = spark.createDataFrame(pd.DataFrame({"term": ids, "n": range(len(ids))}), "term string, n int")
     own = pairs.join(numbers.select(F.col("term").alias("a"), F.col("n").alias("i")), "a").join(numbers.select(F.col("term").alias("b"), F.col("n").alias("j")), "b").filter("weight > 0")
     both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
-    near = written(own.select(F.inline(both), F.log("weight").alias("y"), F.pow(F.least(F.col("weight") / most, F.lit(1.0)), power).alias("f")).repartition("i"))
+    rows = own.select(F.inline(both), F.log("weight").alias("y"), F.pow(F.least(F.col("weight") / most, F.lit(1.0)), power).alias("f")).groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "y", "f"))).alias("x"))  # a word's pairs
+    near = written(rows.select("i", "x.j", "x.y", "x.f"))
     rng = np.random.default_rng(seed)
     other = np.hstack([rng.normal(0, 1 / np.sqrt(size), (len(ids), size)), np.zeros((len(ids), 1))])  # a vector and an offset
 
     def side(fixed: np.ndarray) -> tuple[np.ndarray, float]:
         sent = spark.sparkContext.broadcast(fixed)
 
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            c = sent.value[pdf["j"].to_numpy()]
-            x, y, f = np.hstack([c[:, :-1], np.ones((len(c), 1))]), pdf["y"].to_numpy() - c[:, -1], pdf["f"].to_numpy()[:, None]
-            w = np.linalg.solve(x.T @ (f * x) + ridge * np.eye(x.shape[1]), x.T @ (f[:, 0] * y))
-            loss = float((f[:, 0] * (x @ w - y) ** 2).sum() + ridge * (w**2).sum())
-            return pd.DataFrame({"i": [pdf["i"].iloc[0]], "w": [w], "loss": [loss]})
-
-        out = near.groupBy("i").applyInPandas(solve, "i int, w array<double>, loss double").toPandas()
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ws, losses = [], []
+                for j, y, f in zip(*(b.column(n) for n in (1, 2, 3))):
+                    c, f = sent.value[j.values.to_numpy()], f.values.to_numpy()
+                    x, y = np.hstack([c[:, :-1], np.ones((len(c), 1))]), y.values.to_numpy() - c[:, -1]
+                    fx = f[:, None] * x
+                    # the smaller of the two equal systems
+                    w = np.linalg.solve(x.T @ fx + ridge * np.eye(x.shape[1]), fx.T @ y) if len(c) > x.shape[1] else fx.T @ np.linalg.solve(x @ fx.T + ridge * np.eye(len(c)), y)
+                    ws.append(w)
+                    losses.append(float((f * (x @ w - y) ** 2).sum() + ridge * (w**2).sum()))
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ws) + 1) * fixed.shape[1], pa.int32()), pa.array(np.concatenate(ws) if ws else np.zeros(0)))
+                yield pa.RecordBatch.from_arrays([b.column(0), flat, pa.array(losses, pa.float64())], ["i", "w", "loss"])
+
+        out = near.mapInArrow(solve, "i int, w array<double>, loss double").toPandas()
         solved = np.zeros_like(fixed)
         if len(out):
             solved[out["i"].to_numpy()] = np.stack(out["w"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -89,3 +89,34 @@ def typed_triplets(triplets: DataFrame, entities: DataFrame) -> DataFrame:
     one = F.when(first, F.col("k1")).otherwise(F.col("kw"))
     two = F.when(first, F.col("kw")).otherwise(F.coalesce("k2", F.lit("None")))
     return hits.unionByName(none).select("case_id", one.alias("type1"), "entity1", "relation", two.alias("type2"), "entity2").distinct()
+
+
+#: Positions of a case that are numbered together; a case of any length is numbered by many tasks.
+_SPAN = 10_000
+
+
+def entity_graph(triplets: DataFrame, cases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graphs of cases: nodes (case_id, node, name) and directed edges (case_id, seq, src, dst, label).
+
+    ``triplets(case_id, pos, entity1, relation, entity2)``; a triplet that repeats counts where it is first. Every case has
+    the virtual node 0 (null name) with two loops; entities are numbered from 1 as they are first seen. A triplet gives six edges: both
+    ways between its entities (labelled with the relation) and both ways between the virtual node and each entity (with the entity).
+    Triplets with a null entity are left out; repeated ``cases(case_id)`` count once.
+    """
+    keys = ["case_id", "entity1", "relation", "entity2"]
+    t = triplets.filter("entity1 IS NOT NULL AND entity2 IS NOT NULL").groupBy(*keys).agg(F.min("pos").alias("pos"))
+    each = F.array(F.struct((F.col("pos") * 2).alias("at"), F.col("entity1").alias("name")), F.struct((F.col("pos") * 2 + 1).alias("at"), F.col("entity2").alias("name")))
+    seen = t.select("case_id", F.inline(each)).groupBy("case_id", "name").agg(F.min("at").alias("at")).withColumn("span", F.floor(F.col("at") / _SPAN))
+    per = seen.groupBy("case_id", "span").agg(F.count(F.lit(1)).alias("n"))
+    before = per.select("case_id", "span", (F.sum("n").over(Window.partitionBy("case_id").orderBy("span")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("case_id", "span").orderBy("at", "name"))
+    nodes = seen.withColumn("own", own).join(before, ["case_id", "span"]).select("case_id", (F.col("own") + F.col("before")).alias("node"), "name")
+    all_cases = cases.select("case_id").distinct()
+    a, b = nodes.toDF("case_id", "e1", "entity1"), nodes.toDF("case_id", "e2", "entity2")
+    both = t.join(a, ["case_id", "entity1"]).join(b, ["case_id", "entity2"])
+    zero = F.lit(0).cast("long")
+    six = [("e1", "e2", "relation"), ("e2", "e1", "relation"), (None, "e1", "entity1"), ("e1", None, "entity1"), (None, "e2", "entity2"), ("e2", None, "entity2")]
+    rows = F.array(*(F.struct((F.col("pos") * 6 + n).cast("long").alias("seq"), (F.col(x) if x else zero).alias("src"), (F.col(y) if y else zero).alias("dst"), F.col(z).alias("label")) for n, (x, y, z) in enumerate(six)))
+    loops = F.array(*(F.struct(F.lit(n).cast("long").alias("seq"), zero.alias("src"), zero.alias("dst"), F.lit(None).cast("string").alias("label")) for n in (-2, -1)))
+    edges = both.select("case_id", F.inline(rows)).unionByName(all_cases.select("case_id", F.inline(loops)))
+    return all_cases.select("case_id", zero.alias("node"), F.lit(None).cast("string").alias("name")).unionByName(nodes), edges

@@ -159,19 +159,49 @@ def _role_power_set(spark: SparkSession, d: str) -> DataFrame:
     return rank.by_role_sets(table(spark, d, "conversations"), ("assistant", "system", "user"))
 
 
-_TRIPLETS = ((1, " court ", "held", "the appeal of Singh"), (1, "nobody", "met", "Singh"), (1, "it", "was", "late"), (2, "Singh", "sued", "Union"), (1, "the court and Singh", "saw", "Act"), (1, "court", "found", "nothing"))
-_ENTITIES = ((1, "court", "ORG"), (1, "Singh", "PERSON"), (1, "Act", "LAW"), (2, "Union", "ORG"))
-_vals = lambda rows: ", ".join(str(r) for r in rows)
+# Deliveries as triplets: the supplier's name in blanks, how it ships, the part's name. Half of the suppliers and one word of the parts' names are known entities.
+_DELIVERED = "lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey"
+_TRIPLETS = f"SELECT l_orderkey AS c, ' ' || s_name || ' ' AS a, l_returnflag AS r, p_name AS b FROM {_DELIVERED}"
+_ENTITIES = f"SELECT DISTINCT l_orderkey AS c, s_name AS name, 'ORG' AS type FROM {_DELIVERED} WHERE s_suppkey % 2 = 0 UNION ALL SELECT DISTINCT l_orderkey, split_part(p_name, ' ', 2), 'THING' FROM {_DELIVERED} WHERE p_size % 3 = 0"
 
 
-@query("typed_triplets", f"""WITH t AS (SELECT c, trim(a) AS a, r, trim(b) AS b FROM (VALUES {_vals(_TRIPLETS)}) v(c, a, r, b)), e AS (SELECT * FROM (VALUES {_vals(_ENTITIES)}) v(c, name, type)),
+@query("typed_triplets", f"""WITH t AS (SELECT c, trim(a) AS a, r, trim(b) AS b FROM ({_TRIPLETS})), e AS ({_ENTITIES}),
 k AS (SELECT t.*, x.type AS ka, y.type AS kb FROM t LEFT JOIN e x ON x.c = t.c AND x.name = a LEFT JOIN e y ON y.c = t.c AND y.name = b),
 w AS (SELECT k.*, unnest(string_split(CASE WHEN ka IS NOT NULL THEN b ELSE a END, ' ')) AS word FROM k WHERE ka IS NOT NULL OR kb IS NOT NULL),
 m AS (SELECT w.c, a, r, b, ka, kb, list(DISTINCT type) FILTER (type IS NOT NULL) AS kinds FROM w LEFT JOIN e ON e.c = w.c AND e.name = word GROUP BY ALL),
 o AS (SELECT c, a, r, b, ka, kb, unnest(coalesce(kinds, ['None'])) AS kw FROM m UNION ALL SELECT c, a, r, b, ka, kb, 'None' FROM k WHERE ka IS NULL AND kb IS NULL)
 SELECT DISTINCT c::BIGINT AS case_id, CASE WHEN ka IS NOT NULL THEN ka ELSE kw END AS type1, a AS entity1, r AS relation, CASE WHEN ka IS NOT NULL THEN kw ELSE coalesce(kb, 'None') END AS type2, b AS entity2 FROM o""")
 def _typed_triplets(spark: SparkSession, d: str) -> DataFrame:
-    return sets.typed_triplets(spark.createDataFrame(_TRIPLETS, "case_id long, entity1 string, relation string, entity2 string"), spark.createDataFrame(_ENTITIES, "case_id long, name string, type string"))
+    rows = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    triplets = rows.select(F.col("l_orderkey").alias("case_id"), F.concat(F.lit(" "), "s_name", F.lit(" ")).alias("entity1"), F.col("l_returnflag").alias("relation"), F.col("p_name").alias("entity2"))
+    known = lambda where, name, kind: rows.filter(where).select(F.col("l_orderkey").alias("case_id"), name.alias("name"), F.lit(kind).alias("type")).distinct()
+    return sets.typed_triplets(triplets, known("s_suppkey % 2 = 0", F.col("s_name"), "ORG").union(known("p_size % 3 = 0", F.split_part("p_name", F.lit(" "), F.lit(2)), "THING")))
+
+
+_GRAPH = f"""t AS (SELECT c AS case_id, a AS entity1, r AS relation, b AS entity2, min(l) AS pos FROM (SELECT l_orderkey AS c, s_name AS a, l_returnflag AS r, p_name AS b, l_linenumber AS l FROM {_DELIVERED}) GROUP BY ALL),
+s AS (SELECT case_id, name, min(at_) AS at_ FROM (SELECT case_id, entity1 AS name, pos * 2 AS at_ FROM t UNION ALL SELECT case_id, entity2, pos * 2 + 1 FROM t) GROUP BY ALL),
+n AS (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY at_, name) AS node, name FROM s),
+k AS (SELECT DISTINCT o_orderkey AS case_id FROM orders)"""
+
+
+def _case_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    triplets = rows.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").alias("pos"), F.col("s_name").alias("entity1"), F.col("l_returnflag").alias("relation"), F.col("p_name").alias("entity2"))
+    return sets.entity_graph(triplets, table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id")))
+
+
+@query("entity_graph_nodes", f"WITH {_GRAPH} SELECT case_id, node, name FROM n UNION ALL SELECT case_id, 0, NULL FROM k")
+def _graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _case_graph(spark, d)[0]
+
+
+@query("entity_graph_edges", f"""WITH {_GRAPH},
+b AS (SELECT t.*, x.node AS e1, y.node AS e2 FROM t JOIN n x ON x.case_id = t.case_id AND x.name = entity1 JOIN n y ON y.case_id = t.case_id AND y.name = entity2)
+SELECT case_id, pos * 6 + k AS seq, CASE k WHEN 0 THEN e1 WHEN 1 THEN e2 WHEN 3 THEN e1 WHEN 5 THEN e2 ELSE 0 END AS src, CASE k WHEN 0 THEN e2 WHEN 1 THEN e1 WHEN 2 THEN e1 WHEN 4 THEN e2 ELSE 0 END AS dst,
+  CASE WHEN k < 2 THEN relation WHEN k < 4 THEN entity1 ELSE entity2 END AS label FROM b, range(6) r(k)
+UNION ALL SELECT case_id, x - 2, 0, 0, NULL FROM k, range(2) r(x)""")
+def _graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _case_graph(spark, d)[1]
 
 
 @query("co_cite_cosine", """WITH c AS (SELECT DISTINCT l_suppkey AS id, l_orderkey AS o, l_partkey AS p FROM lineitem),
