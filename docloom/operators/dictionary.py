@@ -4,7 +4,8 @@ A dictionary is a table of (entity, alias, case_sensitive, priority). Its aliase
 level is a table from a first token to the lengths of the aliases below it; its leaves are a table from whole aliases
 to entities. Every place of a text whose token is on the first level is followed down to those lengths and no further,
 so a text is read once and its places multiply by the lengths that their token has, not by the aliases that share it.
-Both tables have one row a key and take any size: Spark broadcasts them by measured size or shuffles the places.
+Tokens that can't begin an alias stay out by a bit set of
+fixed size. Both tables have one row a key and take any size: Spark broadcasts them by measured size or shuffles the places.
 
 Where matches overlap, the leftmost stays, of those the longest, then the highest priority, then the smallest entity;
 matches are sorted within partitions and resolved as a stream, so no document's matches are gathered.
@@ -53,14 +54,34 @@ def first_level(leaves_: DataFrame) -> DataFrame:
     return leaves_.groupBy("first").agg(F.collect_set("n").alias("lengths"))  # at most one per length
 
 
-def places(docs: DataFrame, longest: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, token, start, window): every token with its place and the tokens from it on, ``longest`` at most."""
+#: Bits that tell which tokens can't begin an alias: 8 kB at any size of the dictionary.
+FIRST_BITS = 1 << 16
+
+
+def _bit(token: Column) -> Column:
+    return F.xxhash64(_lower(token)).bitwiseAND(F.lit(FIRST_BITS - 1).cast("long"))
+
+
+def first_bits(leaves_: DataFrame) -> list[int]:
+    """64-bit words of the bits of all first tokens. A full set costs time and loses nothing: what it lets through still meets the first level."""
+    b = leaves_.select(_bit(F.col("first")).alias("b"))
+    rows = b.select(F.shiftright("b", 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("b").bitwiseAND(F.lit(63).cast("long")).cast("int")).alias("bit"))
+    found = {r.word: r.bits for r in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()}
+    return [found.get(w, 0) for w in range(FIRST_BITS // 64)]
+
+
+def places(docs: DataFrame, longest: int, bits: list[int], id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text_hash, token, start, window, gaps): tokens that may begin an alias, with their place and the tokens from there on, ``longest`` at most."""
     body = F.coalesce(F.col(text), F.lit(""))
+    known = F.array(*(F.lit(b).cast("long") for b in bits))
+
+    def able(x: Column) -> Column:
+        return let(_bit(x), lambda b: F.call_function("getbit", F.get(known, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63).cast("long")).cast("int")) == 1)
 
     def rows(t: Column) -> Column:
         gaps = F.split(body, TOKEN, -1)
         lengths = lambda g: F.transform(t, lambda x, i: F.length(x) + F.length(F.get(g, i)))
-        return let(gaps, lambda g: sums_before(lengths(g), lambda sums: F.transform(t, lambda x, i: F.struct(i.alias("token"), (sums(i) + F.length(F.get(g, i))).alias("start"), F.slice(t, i + 1, F.lit(longest)).alias("window"), F.slice(g, i + 2, F.lit(longest)).alias("gaps")))))
+        return let(gaps, lambda g: sums_before(lengths(g), lambda sums: F.transform(F.filter(F.transform(t, lambda x, i: F.when(able(x), i)), lambda i: i.isNotNull()), lambda i: F.struct(i.alias("token"), (sums(i) + F.length(F.get(g, i))).alias("start"), F.slice(t, i + 1, F.lit(longest)).alias("window"), F.slice(g, i + 2, F.lit(longest)).alias("gaps")))))
 
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.inline(let(tokens(F.col(text)), rows)))
 
@@ -68,7 +89,7 @@ def places(docs: DataFrame, longest: int, id_col: str = "doc_id", text: str = "t
 def matches(docs: DataFrame, leaves_: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, token, n, start, text, entity_id, priority): all matches, overlapping ones too."""
     longest = leaves_.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
-    at = places(docs, longest, id_col, text)
+    at = places(docs, longest, first_bits(leaves_), id_col, text)
     met = at.join(first_level(leaves_), _lower(F.get("window", F.lit(0))) == F.col("first"))
     down = F.filter("lengths", lambda n: n <= F.size("window"))
     cut = lambda n: F.struct(F.concat_ws(" ", F.slice("window", F.lit(1), n)).alias("word"), n.alias("len"))
