@@ -120,3 +120,20 @@ def entity_graph(triplets: DataFrame, cases: DataFrame) -> tuple[DataFrame, Data
     loops = F.array(*(F.struct(F.lit(n).cast("long").alias("seq"), zero.alias("src"), zero.alias("dst"), F.lit(None).cast("string").alias("label")) for n in (-2, -1)))
     edges = both.select("case_id", F.inline(rows)).unionByName(all_cases.select("case_id", F.inline(loops)))
     return all_cases.select("case_id", zero.alias("node"), F.lit(None).cast("string").alias("name")).unionByName(nodes), edges
+
+
+def set_scores(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(query_id, doc_id, overlap, jaccard, coupling, idf_cosine) of sets ``a(query_id, element)``, a bounded query set, and ``b(doc_id, element)``.
+
+    Only pairs with a common element; all four scores of other pairs are 0. The weight of an element is ln((N + 1) / (df + 1)) + 1
+    over the N documents of ``b``, 1 where ``b`` lacks it. Repeated and null elements count once and not at all.
+    """
+    x = a.filter("element IS NOT NULL").select("query_id", "element").distinct()
+    y = b.filter("element IS NOT NULL").select("doc_id", "element").distinct()
+    n = b.agg(F.count_distinct("doc_id").alias("n"))
+    weight = y.groupBy("element").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("element", F.pow(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 2).alias("w"))  # one row
+    sizes = lambda df, key, s: df.join(weight, "element", "left").groupBy(key).agg(F.count(F.lit(1)).alias(f"n{s}"), F.sum(F.coalesce("w", F.lit(1.0))).alias(f"z{s}"))
+    p = x.join(weight, "element").join(y, "element").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap"), F.sum("w").alias("dot"))
+    p = p.join(sizes(x, "query_id", "a"), "query_id").join(sizes(y, "doc_id", "b"), "doc_id")
+    r = lambda c, name: F.round(c, 6).alias(name)
+    return p.select("query_id", "doc_id", "overlap", r(F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap")), "jaccard"), r(F.col("overlap") / F.sqrt(F.col("na") * F.col("nb")), "coupling"), r(F.col("dot") / F.sqrt(F.col("za") * F.col("zb")), "idf_cosine"))

@@ -124,10 +124,11 @@ SELECT DISTINCT doc_id, regexp_replace(upper(trim(v)), '\\s+', '_', 'g') AS valu
 _ACT_CASE = "CASE " + " ".join(f"WHEN regexp_matches(lower(trim(b)), {_quoted(p)}) THEN {_quoted(n)}" for p, n in legal.ACTS)
 
 
-def _statutes_sql(words: int) -> str:
+def statutes_sql(words: int, texts: str = T) -> str:
+    """Statutes of the table t that ``texts`` defines."""
     pairs = lambda p: f"SELECT doc_id, unnest(regexp_extract_all(text, {_quoted(p)}, 1)) AS a, unnest(regexp_extract_all(text, {_quoted(p)}, 2)) AS b FROM bare"
     return f"""
-WITH {T}, bare AS (SELECT doc_id, regexp_replace(text, '<[^>]+>', ' ', 'g') AS text FROM t),
+WITH {texts}, bare AS (SELECT doc_id, regexp_replace(text, '<[^>]+>', ' ', 'g') AS text FROM t),
 named AS ({pairs(legal.SECTION_OF)} UNION ALL {pairs(legal.ARTICLE_OF)}),
 capital AS (SELECT doc_id, a, b, list_filter(regexp_split_to_array(b, '\\s+'), lambda w: regexp_matches(w, '^[A-Z]'))[1:{words}] AS c FROM named WHERE a <> '' AND length(trim(b)) > 3)
 SELECT DISTINCT doc_id, 'S' || upper(regexp_replace(a, '\\s+', '', 'g')) || '_' || {_ACT_CASE} ELSE CASE WHEN len(c) > 0 THEN array_to_string(c, '_') ELSE 'UnknownAct' END END AS value FROM capital
@@ -136,9 +137,9 @@ UNION SELECT doc_id, 'S' || upper(a) || '_' || upper(b) FROM ({pairs(legal.SECTI
 
 
 QUERIES["legal_statutes"] = _listed(legal.statutes)
-ORACLES["legal_statutes"] = _statutes_sql(3)
+ORACLES["legal_statutes"] = statutes_sql(3)
 QUERIES["legal_statutes_two_words"] = _listed(lambda t: legal.statutes(t, 2))
-ORACLES["legal_statutes_two_words"] = _statutes_sql(2)
+ORACLES["legal_statutes_two_words"] = statutes_sql(2)
 for _name, _patterns in (("concepts", legal.CONCEPTS), ("entities", legal.ENTITIES)):
     QUERIES[f"legal_{_name}"] = lambda spark, d, p=_patterns: _texts(spark, d).select("doc_id", F.explode(legal.concepts(F.col("text"), p)).alias("value")).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
     ORACLES[f"legal_{_name}"] = f"""
