@@ -113,14 +113,21 @@ def fit(docs: DataFrame, tokens: Column, terms: DataFrame, size: int = 64, passe
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights, drawn = sent.value
             pull, bound, total = np.zeros_like(weights), np.zeros(len(weights)), 0.0
+            noise_pull, noise_bound = np.zeros((len(drawn), weights.shape[1])), np.zeros(len(drawn))
             for b in batches:
                 for ids, ns in zip(b.column(0), b.column(1)):
                     rows_, y, f = _case(ids.values.to_numpy(), ns.values.to_numpy(), drawn, ratio)
                     x = weights[rows_]
                     v, loss = solve(x, y, f, ridge)
-                    np.add.at(pull, rows_, (f * (_chance(x @ v) - y))[:, None] * v)
-                    np.add.at(bound, rows_, f * (v @ v) / 4)
+                    own, n = (f * (_chance(x @ v) - y))[:, None] * v, len(ids)
+                    curve = f * (v @ v) / 4
+                    pull[rows_[:n]] += own[:n]  # a document's words are distinct, noise words may repeat
+                    bound[rows_[:n]] += curve[:n]
+                    noise_pull += own[n:]
+                    noise_bound += curve[n:]
                     total += loss
+            np.add.at(pull, drawn, noise_pull)
+            np.add.at(bound, drawn, noise_bound)
             met = np.flatnonzero(bound)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(met) + 1) * weights.shape[1], pa.int32()), pa.array(pull[met].ravel()))
             losses = np.zeros(len(met))
