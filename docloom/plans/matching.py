@@ -1,4 +1,4 @@
-"""Queries of document vectors, texts filtered by shared events, text quality and rankings by statutes, with their DuckDB SQL."""
+"""Queries of document vectors, texts filtered by shared events, text quality, rankings by statutes and trained segments, with their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import legal
 from docloom.functions import text as X
-from docloom.operators import docvectors, overlap, profiles, rank, score, sets, vocabulary
+from docloom.operators import docvectors, overlap, profiles, rank, score, segments, sets, vocabulary
 from docloom.plans.catalog import _TOP, _asked, table
 from docloom.plans.legal import statutes_sql
 from docloom.sources.tables import written
@@ -136,3 +136,38 @@ def _boosted(spark: SparkSession, d: str) -> DataFrame:
     both = written(_by_statutes(spark, d))
     run = lambda c: both.select("query_id", "doc_id", F.col(c).alias("score"))
     return rank.top(rank.boost(run("jaccard"), run("idf_cosine"), 1.0), 10)
+
+
+#: Transcripts: a head line a turn, then its text.
+_HEADS = "upper(role) || ' ' || turn"
+
+
+def _transcripts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations as texts (conv_id, text), and the lines where a turn begins (conv_id, line)."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.expr(f"{_HEADS} || '\n' || coalesce(text, '')").alias("t"))
+    each = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "t"))).alias("x"))  # one conversation
+    sizes = F.transform("x", lambda x: F.size(F.split(x["t"], "\n")))
+    first = F.transform(F.sequence(F.lit(1), F.size("x")), lambda i: F.aggregate(F.slice(sizes, 1, i - 1), F.lit(0), lambda s, n: s + n))
+    return each.select("conv_id", F.array_join(F.col("x.t"), "\n").alias("text")), each.select("conv_id", F.explode(first).alias("line"))
+
+
+def _segment_model(docs: DataFrame, marked: DataFrame) -> segments.LineModel:
+    return segments.fit_lines(docs.filter("conv_id % 2 = 0"), marked.filter("conv_id % 2 = 0"), id_col="conv_id")
+
+
+_TURNS = f"turns AS (SELECT conv_id, turn, {_HEADS} AS head, {_HEADS} || chr(10) || coalesce(text, '') || chr(10) AS t FROM conversations WHERE conv_id % 2 = 1)"
+_STARTS = f"{_TURNS}, placed AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM turns)"
+
+
+@query("trained_turn_segments", f"WITH {_STARTS} SELECT conv_id, nth::INT AS nth, begun::INT AS start, (begun + length(t) - (back = 1)::INT)::INT AS \"end\" FROM placed")
+def _turn_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Transcripts of odd conversations cut into turns by a model that learned from even ones; the SQL knows the turns."""
+    docs, marked = _transcripts(spark, d)
+    return segments.segments(_segment_model(docs, marked), docs.filter("conv_id % 2 = 1"), id_col="conv_id").drop("text")
+
+
+@query("trained_titles", f"WITH {_STARTS} SELECT conv_id, nth::INT AS nth, begun::INT AS start, (begun + length(head))::INT AS \"end\", head AS text FROM placed")
+def _titles(spark: SparkSession, d: str) -> DataFrame:
+    """Their head lines as titles."""
+    docs, marked = _transcripts(spark, d)
+    return segments.segments(_segment_model(docs, marked), docs.filter("conv_id % 2 = 1"), titles=True, id_col="conv_id")
