@@ -5,10 +5,10 @@ import pytest
 
 from docloom.functions import extract
 from docloom.operators.index import postings
-from docloom.plans import catalog, experiments, grammar, learning, legal, matching, ranking, reports, texts
+from docloom.plans import boundaries, catalog, experiments, grammar, learning, legal, matching, ranking, reports, texts
 from docloom.plans.catalog import FLAGSHIP
 
-QUERIES, ORACLES = catalog.QUERIES | experiments.QUERIES | grammar.QUERIES | learning.QUERIES | legal.QUERIES | matching.QUERIES | ranking.QUERIES | reports.QUERIES | texts.QUERIES, catalog.ORACLES | experiments.ORACLES | grammar.ORACLES | learning.ORACLES | legal.ORACLES | matching.ORACLES | ranking.ORACLES | reports.ORACLES | texts.ORACLES
+QUERIES, ORACLES = boundaries.QUERIES | catalog.QUERIES | experiments.QUERIES | grammar.QUERIES | learning.QUERIES | legal.QUERIES | matching.QUERIES | ranking.QUERIES | reports.QUERIES | texts.QUERIES, boundaries.ORACLES | catalog.ORACLES | experiments.ORACLES | grammar.ORACLES | learning.ORACLES | legal.ORACLES | matching.ORACLES | ranking.ORACLES | reports.ORACLES | texts.ORACLES
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
