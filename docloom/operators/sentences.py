@@ -26,10 +26,10 @@ from docloom.functions.text import let
 from docloom.sources.tables import written
 
 BLANK = r"[\x20\x09-\x0D]"
-#: What stands around a word, behind a sentence's mark, and the marks.
-AROUND, MARKS = r"""^["'(\[]++|(?<!["')\],;:])["')\],;:]++$""", r"(?<![.?!])[.?!]++$"
+#: What stands before and behind a word, and the marks that end a sentence.
+BEFORE, BEHIND, MARKS = "\"'([", "\"')],;:", ".?!"
 #: A cut is behind marks and up to three closing signs before a blank, and before a blank line.
-CUTS = rf"""(?<=[.?!]["')\]]{{0,3}})(?={BLANK})|(?=\n[\x20\x09]*\n)"""
+CUTS = rf"""(?={BLANK})(?:(?<=[.?!]["')\]]{{0,3}})|(?=\n[\x20\x09]*\n))"""
 FIGURE = r"^-?[0-9][0-9.,-]*$"
 #: A sentence needs a word of three letters or a digit.
 SENSE = r"\p{L}{3}|[0-9]"
@@ -47,17 +47,17 @@ class SentenceModel:
 
 
 def _core(token: Column) -> Column:
-    return F.regexp_replace(token, AROUND, "")
+    return F.rtrim(F.ltrim(token, F.lit(BEFORE)), F.lit(BEHIND))
 
 
 def _type(core: Column) -> Column:
-    word = F.regexp_replace(core, MARKS, "")
+    word = F.rtrim(core, F.lit(MARKS))
     return F.when(word.rlike(FIGURE), "#").otherwise(F.lower(word))
 
 
 def _mark(core: Column) -> Column:
     """``.``, ``!`` (also for ``?``) or nothing."""
-    return F.when(core.endswith("."), ".").when(core.rlike("[?!]$"), "!").otherwise("")
+    return F.when(core.endswith("."), ".").when(core.endswith("!") | core.endswith("?"), "!").otherwise("")
 
 
 def _upper(core: Column) -> Column:
@@ -75,7 +75,8 @@ def _words(text: Column) -> Column:
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(type, mark, upper, before, prev, n): ``before`` is the mark of the previous word (null: none), ``prev`` its type if that is a full stop."""
-    pairs = let(_words(F.col(text_col)), lambda t: F.transform(t, lambda x, i: F.struct(_core(x).alias("core"), _core(F.get(t, i - 1)).alias("back"))))
+    cores = F.transform(_words(F.col(text_col)), _core)
+    pairs = let(cores, lambda t: F.transform(t, lambda x, i: F.struct(x.alias("core"), F.get(t, i - 1).alias("back"))))
     rows = docs.select(F.inline(pairs))
     before = F.when(F.col("back").isNotNull(), _mark(F.col("back")))
     keyed = rows.select(_type(F.col("core")).alias("type"), _mark(F.col("core")).alias("mark"), _upper(F.col("core")).alias("upper"), before.alias("before"), F.when(before == ".", _type(F.col("back"))).alias("prev"))
