@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,16 +39,20 @@ def postings(docs: DataFrame, id_col: str, text: str = "text", ngram: int = 1, t
 
 @dataclass
 class TermIndex:
-    """``postings`` is stored; ``size`` is a one-row frame."""
+    """``postings`` is stored, of a built index ``terms`` and ``size`` as well; ``kept`` holds what scorers derive once an index and write (norms)."""
 
     postings: DataFrame  # doc_id, term, tf, dl, maxtf
     terms: DataFrame  # term, df
     size: DataFrame  # n_docs, avgdl (one row)
+    kept: dict[tuple, DataFrame] = field(default_factory=dict)
 
     @classmethod
     def build(cls, docs: DataFrame, ngram: int = 1, min_df: int = 1, max_df: float = 1.0, tokens: Column | None = None, unique: bool = True) -> TermIndex:
         """``unique``: no two rows share a doc_id."""
-        return cls.over(written(postings(docs, "doc_id", ngram=ngram, tokens=tokens, unique=unique)), docs, min_df, max_df)
+        index = cls.over(written(postings(docs, "doc_id", ngram=ngram, tokens=tokens, unique=unique)), docs, min_df, max_df)
+        index.size = written(index.size)
+        index.terms = written(index.terms)
+        return index
 
     @classmethod
     def over(cls, stored: DataFrame, docs: DataFrame, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None) -> TermIndex:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators.index import TermIndex, postings
+from docloom.sources.tables import written
 
 IDF = {
     "smooth": lambda n, df: F.log((n + 1) / (df + 1)) + 1,
@@ -65,6 +66,14 @@ def norms(weights: DataFrame, key: str) -> DataFrame:
     return weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"norm_{key}"))
 
 
+def doc_norms(index: TermIndex, scheme: str = "log", idf: str = "smooth") -> DataFrame:
+    """(doc_id, norm_doc_id) of the whole index, written once for each index and weighting."""
+    key = ("norms", scheme, idf)
+    if key not in index.kept:
+        index.kept[key] = written(norms(doc_weights(index, scheme, idf), "doc_id"))
+    return index.kept[key]
+
+
 def cosine(q: DataFrame, d: DataFrame, d_norms: DataFrame | None = None) -> DataFrame:
     """Run of sparse vectors ``q(query_id, term, w)`` against ``d(doc_id, term, w)``; zero products are not formed."""
     dots = q.select("query_id", "term", F.col("w").alias("wq")).join(d.select("doc_id", "term", F.col("w").alias("wd")), "term")
@@ -76,12 +85,12 @@ def cosine(q: DataFrame, d: DataFrame, d_norms: DataFrame | None = None) -> Data
 def tfidf(index: TermIndex, queries: DataFrame, scheme: str = "log", idf: str = "smooth", tokens: Column | None = None) -> DataFrame:
     """Cosine of TF-IDF vectors; terms outside the index's vocabulary don't count.
 
-    The query terms carry their document frequency to the postings; only the norms read all of those.
+    The query terms carry their document frequency to the postings; only the norms, stored with the index, read all of those.
     """
     q = query_weights(index, queries, scheme, idf, tokens)
     vocab = q.select("term", "df").distinct()
     hit = index.postings.join(vocab, "term").crossJoin(F.broadcast(index.size)).select("doc_id", "term", _weight(scheme, idf).alias("w"))  # one row
-    return cosine(q, hit, norms(doc_weights(index, scheme, idf), "doc_id"))
+    return cosine(q, hit, doc_norms(index, scheme, idf))
 
 
 def dense_top(queries: DataFrame, vectors: DataFrame) -> DataFrame:

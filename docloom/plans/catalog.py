@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import extract
 from docloom.operators import evaluate, rank, score
 from docloom.operators.index import TermIndex
+from docloom.sources.tables import stamp
 
 FLAGSHIP = "tfidf_log_top10"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,8 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Indexes of a session: one for each state of a table and each way to build it.
+_STORED: dict[tuple, TermIndex] = {}
+
+
 def _index(spark: SparkSession, d: str, **how) -> TermIndex:
-    return TermIndex.build(table(spark, d, "documents").select("doc_id", "text"), **how)
+    """The stored index of ``documents``, built when first asked for; one with words of its own is built each time."""
+    build = lambda: TermIndex.build(table(spark, d, "documents").select("doc_id", "text"), **how)
+    if "tokens" in how:
+        return build()
+    key = (spark.sparkContext.applicationId, stamp(spark, f"{d}/documents.parquet"), *sorted(how.items()))
+    if key not in _STORED:
+        _STORED[key] = build()
+    return _STORED[key]
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
