@@ -63,7 +63,8 @@ def shuffled(docs: DataFrame, seed: int = 42, bucket_rows: int = 512, bucket_byt
     parts = rows.withColumn("part", part).groupBy("bucket", "part").agg(F.array_sort(F.collect_list(F.struct("nth", "row")), lambda x, y: x["nth"] - y["nth"]).alias("a"))
     first = F.col("offset") + F.get("a", F.lit(0))["nth"]
     mixed = parts.join(offsets, "bucket").select(first.alias("first"), "a", F.expr(_FISHER_YATES.format(seed=int(seed))).alias("order"))
-    return mixed.select("first", "a", F.posexplode("order").alias("i", "at")).select(F.expr("a[at].row").alias("row"), (F.col("first") + F.col("i")).alias("place"))
+    moved = F.transform("order", lambda at: F.get("a", at)["row"])
+    return mixed.select("first", F.posexplode(moved).alias("i", "row")).select("row", (F.col("first") + F.col("i")).alias("place"))
 
 
 def assign(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_rows: int = 512, bucket_bytes: int = 32 << 20) -> DataFrame:
@@ -80,6 +81,6 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, seed: int = 42, bu
 
 
 def sharding_query(docs: DataFrame) -> DataFrame:
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    slim = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    return assign(slim, 8).select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Whole records are shuffled; sizes and checksums are read from the texts where they land."""
+    body = F.coalesce(F.col("row.text"), F.lit("")).cast("binary")
+    return assign(docs, 8).select("row.doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
