@@ -7,13 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators.reports import cooccurrence
 from docloom.sources.tables import forget, written
 
 
@@ -75,7 +75,50 @@ MOST_WORDS = 200_000
 
 def word_vectors(docs: DataFrame, tokens: Column, terms: DataFrame, size: int = 64, window: int = 5, seed: int = 42, rounds: int = 4) -> DataFrame:
     """(term, v) from how often words of ``terms`` (term), at most ``MOST_WORDS``, stand near each other (see ``factorise``)."""
-    return factorise(cooccurrence(docs, tokens, window), terms, size, seed, rounds)[0]
+    ids = _known(terms)
+    return _solved(docs.sparkSession, near_pairs(docs, tokens, ids, window), ids, size, seed, rounds)[0]
+
+
+def _known(terms: DataFrame) -> list[str]:
+    ids = terms.select("term").filter("term IS NOT NULL").distinct().orderBy("term").limit(MOST_WORDS + 1).toPandas()["term"].tolist()
+    if len(ids) > MOST_WORDS:
+        raise ValueError(f"more than {MOST_WORDS} words")
+    return ids
+
+
+#: Tokens whose neighbours a task counts at once.
+_TOKENS = 1 << 20
+
+
+def near_pairs(docs: DataFrame, tokens: Column, ids: list[str], window: int) -> DataFrame:
+    """(i, j, weight) with i <= j, the places in ``ids`` of the words of ``reports.cooccurrence``; pairs with another word aren't formed.
+
+    Pairs are numbers, summed for a million tokens at a time before they move.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(ids)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n = pa.array(sent.value, pa.string()), max(1, len(sent.value))
+        for batch in batches:
+            lists = batch.column(0)
+            at = pc.fill_null(pc.index_in(lists.flatten(), value_set=words), -1).to_numpy().astype(np.int64)
+            doc = pc.list_parent_indices(lists).to_numpy()
+            for begin in range(0, len(at), _TOKENS):
+                end, keys, ws = min(begin + _TOKENS, len(at)), [], []
+                for d in range(1, window + 1):
+                    to = min(end + d, len(at))
+                    b, a = at[begin + d : to], at[begin : max(begin, to - d)]
+                    own = (a >= 0) & (b >= 0) & (doc[begin : begin + len(a)] == doc[begin + d : to])
+                    a, b = a[own], b[own]
+                    key, times = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_counts=True)
+                    keys.append(key)
+                    ws.append(times / d)
+                key, place = np.unique(np.concatenate(keys), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.bincount(place, np.concatenate(ws), len(key)), pa.float64())], ["key", "w"])
+
+    sums = docs.select(tokens.alias("t")).filter("t IS NOT NULL").mapInArrow(count, "key long, w double").groupBy("key").agg(F.round(F.sum("w"), 6).alias("weight"))
+    n = F.lit(max(1, len(ids)))
+    return sums.select(F.floor(F.col("key") / n).cast("int").alias("i"), (F.col("key") % n).cast("int").alias("j"), "weight")
 
 
 def factorise(pairs: DataFrame, terms: DataFrame, size: int = 64, seed: int = 42, rounds: int = 4, most: float = 100.0, power: float = 0.75, ridge: float = 0.1) -> tuple[DataFrame, list[float]]:
@@ -86,17 +129,19 @@ def factorise(pairs: DataFrame, terms: DataFrame, size: int = 64, seed: int = 42
     there are words at most. Known words without a pair have no vector. The result doesn't depend on partitions
     but for the order of sums.
     """
-    spark = pairs.sparkSession
-    ids = terms.select("term").filter("term IS NOT NULL").distinct().orderBy("term").limit(MOST_WORDS + 1).toPandas()["term"].tolist()
-    if len(ids) > MOST_WORDS:
-        raise ValueError(f"more than {MOST_WORDS} words")
+    spark, ids = pairs.sparkSession, _known(terms)
+    numbers = spark.createDataFrame(pd.DataFrame({"term": ids, "n": range(len(ids))}), "term string, n int")
+    own = pairs.join(numbers.select(F.col("term").alias("a"), F.col("n").alias("i")), "a").join(numbers.select(F.col("term").alias("b"), F.col("n").alias("j")), "b")
+    return _solved(spark, own.select("i", "j", "weight"), ids, size, seed, rounds, most, power, ridge)
+
+
+def _solved(spark: SparkSession, own: DataFrame, ids: list[str], size: int, seed: int, rounds: int, most: float = 100.0, power: float = 0.75, ridge: float = 0.1) -> tuple[DataFrame, list[float]]:
+    """``factorise`` of pairs (i, j, weight) of places in ``ids``."""
     if not ids:
         return spark.createDataFrame([], "term string, v array<double>"), []
-    numbers = spark.createDataFrame(pd.DataFrame({"term": ids, "n": range(len(ids))}), "term string, n int")
-    own = pairs.join(numbers.select(F.col("term").alias("a"), F.col("n").alias("i")), "a").join(numbers.select(F.col("term").alias("b"), F.col("n").alias("j")), "b").filter("weight > 0")
     both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
-    rows = own.select(F.inline(both), F.log("weight").alias("y"), F.pow(F.least(F.col("weight") / most, F.lit(1.0)), power).alias("f")).groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "y", "f"))).alias("x"))  # a word's pairs
-    near = written(rows.select("i", "x.j", "x.y", "x.f"))
+    rows = own.filter("weight > 0").select(F.inline(both), "weight").groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "weight"))).alias("x"))  # a word's pairs
+    near = written(rows.select("i", "x.j", "x.weight"))
     rng = np.random.default_rng(seed)
     other = np.hstack([rng.normal(0, 1 / np.sqrt(size), (len(ids), size)), np.zeros((len(ids), 1))])  # a vector and an offset
 
@@ -104,14 +149,15 @@ def factorise(pairs: DataFrame, terms: DataFrame, size: int = 64, seed: int = 42
         sent = spark.sparkContext.broadcast(fixed)
 
         def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vectors, offsets = np.hstack([sent.value[:, :-1], np.ones((len(sent.value), 1))]), sent.value[:, -1]
             for b in batches:
                 ws, losses = [], []
-                for j, y, f in zip(*(b.column(n) for n in (1, 2, 3))):
-                    c, f = sent.value[j.values.to_numpy()], f.values.to_numpy()
-                    x, y = np.hstack([c[:, :-1], np.ones((len(c), 1))]), y.values.to_numpy() - c[:, -1]
+                for j, weight in zip(b.column(1), b.column(2)):
+                    j, weight = j.values.to_numpy(), weight.values.to_numpy()
+                    x, y, f = vectors[j], np.log(weight) - offsets[j], np.minimum(weight / most, 1.0) ** power
                     fx = f[:, None] * x
                     # the smaller of the two equal systems
-                    w = np.linalg.solve(x.T @ fx + ridge * np.eye(x.shape[1]), fx.T @ y) if len(c) > x.shape[1] else fx.T @ np.linalg.solve(x @ fx.T + ridge * np.eye(len(c)), y)
+                    w = np.linalg.solve(x.T @ fx + ridge * np.eye(x.shape[1]), fx.T @ y) if len(x) > x.shape[1] else fx.T @ np.linalg.solve(x @ fx.T + ridge * np.eye(len(x)), y)
                     ws.append(w)
                     losses.append(float((f * (x @ w - y) ** 2).sum() + ridge * (w**2).sum()))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(ws) + 1) * fixed.shape[1], pa.int32()), pa.array(np.concatenate(ws) if ws else np.zeros(0)))
