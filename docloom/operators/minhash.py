@@ -7,11 +7,13 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import let
-from docloom.operators import dense
+from docloom.operators import dense, overlap
+from docloom.sources.tables import written
 
 #: Fixed value: the modulus of the hash family.
 PRIME = (1 << 31) - 1
@@ -131,8 +133,38 @@ def _other(a: pa.Table, b: pa.Table, found: list, score) -> pa.Table:
 
 
 def exact(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Run of Jaccard similarities of (query_id, sh) and (doc_id, sh), by an equi-join on the shingles; pairs that share none are absent."""
-    q = queries.select("query_id", F.size("sh").alias("nq"), F.explode("sh").alias("s"))
-    d = docs.select("doc_id", F.size("sh").alias("nd"), F.explode("sh").alias("s"))
-    g = q.join(d, "s").filter("query_id <> doc_id").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.first("nq").alias("nq"), F.first("nd").alias("nd"))
-    return g.select("query_id", "doc_id", F.round(F.col("c") / (F.col("nq") + F.col("nd") - F.col("c")), 6).alias("score"))
+    """Run of Jaccard similarities of (query_id, sh) and (doc_id, sh), of shingles without repeats and unique ids; pairs that share none are absent.
+
+    Only shingles that the other side holds as well move, as hashes (``overlap.met``); blocks of both sides meet and count what each pair
+    shares, some queries at a time, so no joined row is listed. Two shingles of one 64-bit hash would count as one.
+    """
+    hashed = lambda df, key: written(df.select(key, F.size("sh").alias("n"), F.transform("sh", lambda x: F.xxhash64(x)).alias("hs")))
+    queries, docs = hashed(queries, "query_id"), hashed(docs, "doc_id")
+    side = lambda df, key, name: df.select(F.lit(name).alias("side"), F.col(key).alias("doc_id"), F.lit(0).alias("line"), F.explode("hs").alias("event"))
+    shared = written(overlap.met(side(queries, "query_id", overlap.QUERY).unionByName(side(docs, "doc_id", overlap.CANDIDATE))).select("doc_id", "h", "as_query"))
+
+    def held(df: DataFrame, key: str, of: DataFrame) -> DataFrame:
+        hashes = of.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("h").alias("hs"))  # bounded by one text
+        return hashes.join(df.select(key, "n"), key)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return dense.run_of(a, b, dense.none(), dense.none(), np.zeros(0))
+        (q, q_of), (d, d_of) = ((_lists(t, "hs"), pc.list_parent_indices(t.column("hs").combine_chunks()).to_numpy()) for t in (a, b))
+        order = np.argsort(d, kind="stable")
+        values, d_of = d[order], d_of[order]
+        nq, nd = (t.column("n").to_numpy().astype(float) for t in (a, b))
+        found = []
+        for at in range(0, a.num_rows, 64):
+            n = min(64, a.num_rows - at)
+            counts = np.zeros(n * b.num_rows, np.int64)
+            begin, end = np.searchsorted(q_of, [at, at + n])
+            for i in range(begin, end, 4096):
+                to = min(i + 4096, end)
+                own, place = _ranges(q[i:to], values)
+                counts += np.bincount((q_of[i:to][own] - at) * b.num_rows + d_of[place], minlength=len(counts))
+            cell = np.flatnonzero(counts)
+            found.append((cell // b.num_rows + at, cell % b.num_rows, counts[cell]))
+        return _other(a, b, found, lambda qi, di, c: c / (nq[qi] + nd[di] - c))
+
+    return dense.met(held(queries, "query_id", shared.filter("as_query")), held(docs, "doc_id", shared.filter("NOT as_query")), "query_id", "doc_id", meet, dense.run_schema(queries, docs), (4096, 16384))

@@ -35,7 +35,7 @@ def _query_bits(queries: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _met(events: DataFrame) -> DataFrame:
+def met(events: DataFrame) -> DataFrame:
     """(doc_id, line, h, g, as_query, as_candidate): events that the other side holds outside the document, and for which side of it.
 
     Events that no query has stay out before anything moves; those of one document alone before the second join.
@@ -63,13 +63,13 @@ def _by_side() -> Column:
 
 def shared_lines(events: DataFrame) -> DataFrame:
     """(side, doc_id, line), distinct, of ``events(side, doc_id, line, event)`` that hold an event of the other side; ``side`` may be ``both``."""
-    lines = _met(events).groupBy("doc_id", "line").agg(F.max("as_query").alias("as_query"), F.max("as_candidate").alias("as_candidate"))
+    lines = met(events).groupBy("doc_id", "line").agg(F.max("as_query").alias("as_query"), F.max("as_candidate").alias("as_candidate"))
     return lines.select(_by_side(), "doc_id", "line")
 
 
 def shared_events(events: DataFrame) -> DataFrame:
     """(side, doc_id, n_shared): a document's distinct events that the other side holds; documents without one are absent."""
-    each = _met(events).groupBy("doc_id", "h", "g").agg(F.max("as_query").alias("as_query"), F.max("as_candidate").alias("as_candidate"))
+    each = met(events).groupBy("doc_id", "h", "g").agg(F.max("as_query").alias("as_query"), F.max("as_candidate").alias("as_candidate"))
     return each.select(_by_side(), "doc_id").groupBy("side", "doc_id").agg(F.count(F.lit(1)).alias("n_shared"))
 
 
