@@ -44,7 +44,8 @@ FORMATS: dict[str, tuple[str, str]] = {
     "day_month": (rf"\b{_DAY}{_B}+{_M}", "d M"),
     "month": (r"\b(?-i:(" + "|".join(m[0].capitalize() for m in MONTHS if m[0] != "may") + r"))\b", "M"),
 }
-PATTERN = "(?i)" + "|".join(re.sub(r"\((?!\?)", "(?:", p) for p, _ in FORMATS.values())
+#: All formats, which begin at a word's edge with a figure or a month: where none can, none is tried.
+PATTERN = rf"(?i)(?<![0-9A-Za-z_])(?=[0-9{''.join(sorted({m[0] for m in MONTH_OF}))}])(?:" + "|".join(re.sub(r"\((?!\?)", "(?:", p.removeprefix(r"\b")) for p, _ in FORMATS.values()) + ")"
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:
@@ -54,7 +55,12 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 def _read(name: str, x: Column, base: datetime.date, day_first: bool) -> Column:
     """Struct (date, until) of a match of this format."""
     pattern, roles = FORMATS[name]
-    at = {role: F.regexp_extract(x, "(?i)^(?:" + pattern + ")$", n) for n, role in enumerate(roles.split(), 1)}
+    parts = F.array(*(F.regexp_extract(x, "(?i)^(?:" + pattern + ")$", n) for n, _ in enumerate(roles.split(), 1)))
+    return let(parts, lambda p: _dated(name, {role: F.get(p, F.lit(n)) for n, role in enumerate(roles.split())}, base, day_first))
+
+
+def _dated(name: str, at: dict[str, Column], base: datetime.date, day_first: bool) -> Column:
+    """Struct (date, until) of the parts by their roles."""
     month = lambda role: F.try_element_at(F.create_map(*(F.lit(v) for kv in MONTH_OF.items() for v in kv)), F.lower(at[role]))
     whole = lambda role: at[role].try_cast("int")
     year = F.lit(base.year)

@@ -45,6 +45,11 @@ def _found(df: DataFrame, key: str, records, *fields: str) -> DataFrame:
     return df.select(key, F.explode(records).alias("r")).select(key, *(F.col(f"r.{f}").alias(f) for f in fields))
 
 
+def _dealt(spark: SparkSession, d: str, name: str, *cols: str) -> DataFrame:
+    """Columns of a table for all cores: a small file is one task else, however long its rows take."""
+    return table(spark, d, name).select(*cols).repartition(4 * spark.sparkContext.defaultParallelism)
+
+
 _W = _in_words("p_size")
 AMOUNT_FORMS = [
     ("{w}", "n"), ("concat(p_size, ' million')", "n * 1e6"), ("concat({w}, ' hundred')", "n * 100"), ("concat(p_size, ' and a half')", "n + 0.5"), ("concat({w}, ' thousand and 5/100')", "n * 1000 + 0.05"),
@@ -91,7 +96,9 @@ def duration_forms(spark: SparkSession, d: str) -> DataFrame:
 @query("ratio_and_distance_forms", "SELECT p_partkey, p_size::DOUBLE AS left_side, round(p_size / 4.0, 6) AS ratio, p_size + 0.5 AS miles FROM part WHERE p_size > 0")
 def ratio_and_distance_forms(spark: SparkSession, d: str) -> DataFrame:
     text = F.expr(f"concat('odds of ', IF(p_partkey % 2 = 0, concat(p_size, ':4'), concat({_W}, ' to four')), '. A way of ', {_W}, ' and a half miles at 10:30 am')")
-    return table(spark, d, "part").select("p_partkey", F.get(amounts.records("ratio", text), F.lit(0)).alias("r"), F.get(amounts.records("distance", text), F.lit(0)).alias("m")).select("p_partkey", F.col("r.left").alias("left_side"), F.col("r.ratio").alias("ratio"), F.col("m.amount").alias("miles")).filter("ratio IS NOT NULL")
+    both = F.struct(F.get(amounts.records("ratio", text), F.lit(0)).alias("r"), F.get(amounts.records("distance", text), F.lit(0)).alias("m"))
+    # behind a generator the filter doesn't read the texts again
+    return _dealt(spark, d, "part", "p_partkey", "p_size").select("p_partkey", F.inline(F.array(both))).select("p_partkey", F.col("r.left").alias("left_side"), F.col("r.ratio").alias("ratio"), F.col("m.amount").alias("miles")).filter("ratio IS NOT NULL")
 
 
 @query("amounts_in_documents", "SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '" + amounts.PATTERNS["amount"].replace("'", "''") + r"'), lambda x: NOT regexp_matches(x, '^[0-9]+([./][0-9]+){2,}\.?$')))::BIGINT AS n FROM documents")
@@ -108,7 +115,7 @@ DATE_FORMS = [
 @query("date_forms", "SELECT o_orderkey, o_orderdate::DATE AS date FROM orders")
 def date_forms(spark: SparkSession, d: str) -> DataFrame:
     text = F.expr(f"concat('Order ', o_orderkey, ' was made as of ', {_cases('o_orderkey', DATE_FORMS)}, ', by the clerk')")
-    return _found(table(spark, d, "orders"), "o_orderkey", dates.dates(text), "date")
+    return _found(_dealt(spark, d, "orders", "o_orderkey", "o_orderdate"), "o_orderkey", dates.dates(text), "date")
 
 
 @query("date_range_forms", """SELECT o_orderkey, o_orderdate::DATE AS date, least(o_orderdate::DATE + 9, last_day(o_orderdate::DATE)) AS until FROM orders""")
