@@ -59,6 +59,8 @@ _WORDS = _any([*CARDINAL, *ORDINAL, *_MAGNITUDE_WORDS, "hundred", "hundredth", "
 _ATOM = rf"(?:{_RATIO}|{WORD_FRACTION.replace('((?:', '(?:(?:').replace('|(one)', '|(?:one)')}|{_QUARTERS}|{_WORDS})\b"
 #: A phrase that is worth an amount. All groups are open ones, so kinds can number their own.
 PHRASE = rf"(?:\b{_RATIO}\b|\b{_NUM}(?:[ \t\n]*(?:mm|bil|trill|[kmb])\b|[ \t\n]{{0,2}}{_SIGN})?|\.[0-9]+|{_SIGN}|\b{_ATOM})(?:{_W}(?:and{_W})?(?:a{_W})?(?:{_ATOM}|half\b|{_SIGN}))*"
+#: Where a phrase may begin: patterns that begin with one are tried nowhere else.
+_BEGINS = "(?=[0-9." + "".join(SIGNS) + "]|(?<![0-9A-Za-z_])[" + "".join(sorted({w[0] for w in (*CARDINAL, *ORDINAL, *PARTS, *_MAGNITUDE_WORDS, "hundred", "dozen", "no")})) + "])"
 _TOKEN = rf"(?i){_RATIO}|{_NUM}|{_SIGN}|{_ATOM}|half|mm|bil|trill|[kmb]\b"
 
 
@@ -167,12 +169,18 @@ def records(kind: str, text: Column) -> Column:
             return [value(number).alias("amount"), F.coalesce(_worth(before, known), _worth(behind, known)).alias("currency")]
         if kind == "distance":
             return [value(F.regexp_replace(low, f"{_any(DISTANCES)}$", "")).alias("amount"), F.when(_unit(x, _any(DISTANCES)).startswith("k"), "kilometer").otherwise("mile").alias("unit")]
+
+    def sides_of(x: Column) -> Column:
         sides = rf"(?i)^({PHRASE})[ \t\n]*(?:\bto\b|:|/)[ \t\n]*({PHRASE})"
         # the phrase holds groups of its own in no place, so the second side is what the first one and its sign leave
-        left = F.regexp_extract(x, sides, 1)
-        right = F.regexp_replace(F.substr(x, F.length(left) + 1), r"(?i)^[ \t\n]*(?:to\b|:|/)[ \t\n]*", "")
-        return [value(left).alias("left"), value(right).alias("right"), F.round(F.try_divide(value(left), value(right)), 6).alias("ratio")]
-
-    found = F.filter(spans(text, PATTERNS[kind]), lambda s: ~s["text"].rlike(f"^(?:{_NO_AMOUNT})$" if kind == "amount" else r"(?i)[ \t\n]*[ap]\.?m$" if kind == "ratio" else "^$"))
-    out = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), *fields(s["text"])))
-    return F.filter(out, lambda r: (r["left"] != 0) & (r["right"] != 0)) if kind == "ratio" else out
+        right = lambda left: F.regexp_replace(F.substr(x, F.length(left) + 1), r"(?i)^[ \t\n]*(?:to\b|:|/)[ \t\n]*", "")
+        both = let(F.regexp_extract(x, sides, 1), lambda left: F.struct(value(left).alias("left"), value(right(left)).alias("right")))
+        return let(both, lambda b: F.struct(b["left"].alias("left"), b["right"].alias("right"), F.round(F.try_divide(b["left"], b["right"]), 6).alias("ratio")))
+
+    pattern = f"(?i){_BEGINS}(?:{PATTERNS[kind]})" if kind in ("amount", "distance", "ratio") else PATTERNS[kind]
+    found = F.filter(spans(text, pattern), lambda s: ~s["text"].rlike(f"^(?:{_NO_AMOUNT})$" if kind == "amount" else r"(?i)[ \t\n]*[ap]\.?m$" if kind == "ratio" else "^$"))
+    record = lambda s, own: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), *own)
+    if kind == "ratio":
+        out = F.transform(found, lambda s: let(sides_of(s["text"]), lambda b: record(s, [b[n].alias(n) for n in ("left", "right", "ratio")])))
+        return F.filter(out, lambda r: (r["left"] != 0) & (r["right"] != 0))
+    return F.transform(found, lambda s: record(s, fields(s["text"])))
