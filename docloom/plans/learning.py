@@ -24,7 +24,8 @@ def _windows(df: DataFrame, key: str) -> DataFrame:
 def passage_gold(spark: SparkSession, d: str) -> DataFrame:
     """Documents that share at least three five-word windows with an item are relevant to it."""
     asked = _windows(_asked(spark, d), "query_id").distinct()
-    held = _windows(table(spark, d, "documents"), "doc_id").distinct().join(asked, "w")
+    # the items are a stated query set: their windows go to the documents, of which only shared windows move
+    held = _windows(table(spark, d, "documents"), "doc_id").join(F.broadcast(asked), "w").distinct()
     return held.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n_shared")).filter("n_shared >= 3")
 
 
